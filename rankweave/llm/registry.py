@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rankweave.llm import chat_format, decontaminate, html_extract, line_dedup, token_table
+from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, token_table
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_html_extract": html_extract.op7_html_extract,
     "op10_token_table": token_table.op10_token_table,
