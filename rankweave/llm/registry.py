@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, token_table
+from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, quality, token_table
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
