@@ -11,26 +11,25 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import struct
-import sys
-from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import body, fresh_dir, materialize, shuffle_partitions, table
+from rankweave.llm.common import body, discard, materialize, part_batches, release, shuffle_partitions, table, write_by_part
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The fold looks at every pair of a piece for every merge; longer pieces go through a heap instead, with the same result.
 FOLD_BYTES = 256
 BUCKETS = 65536
-GATHER = 300_000  # distinct pieces that a task holds before it hands them on
+GATHER = 600_000  # distinct words that a task holds before it hands their pieces on
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,14 +65,16 @@ class RankTable:
         """Ids of a piece that is not empty: a fold over its bytes that makes the merge of the lowest rank, the leftmost
         of equals first, until no two neighbours make a token. Every byte has to be a token."""
         chars = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
+        done = F.lit("")  # stands first once no merge is left
 
         def step(p: Column, _: Column) -> Column:
-            ranks = F.transform(p, lambda x, i: self.rank(F.concat(x, F.get(p, i + 1))))
-            return F.when(F.size(p) == 1, p).otherwise(let(ranks, lambda r: let(F.array_position(r, F.array_min(r)).cast("int"), lambda k: (
-                F.when(k.isNull(), p).otherwise(F.concat(F.slice(p, F.lit(1), k - 1), F.array(F.concat(F.get(p, k - 1), F.get(p, k))), F.slice(p, k + 2, F.size(p))))))))
+            ranks = F.transform(F.transform(p, lambda x, i: F.concat(x, F.get(p, i + 1))), self.rank)
+            return F.when(F.get(p, F.lit(0)) == done, p).otherwise(let(ranks, lambda r: let(F.array_position(r, F.array_min(r)).cast("int"), lambda k: (
+                F.when(k.isNull(), F.concat(F.array(done), p))
+                .otherwise(F.concat(F.slice(p, F.lit(1), k - 1), F.array(F.concat(F.get(p, k - 1), F.get(p, k))), F.slice(p, k + 2, F.size(p))))))))
 
         merged = F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(chars))), F.split(chars, ""), step)
-        return F.transform(merged, self.rank)
+        return F.transform(F.filter(merged, lambda x: x != done), self.rank)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -109,6 +110,28 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_chunks = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
+
+_SPACED = ["\0", *(x + " " for x in _WHITE)]
+
+
+def chunks(text: str) -> list[str]:
+    """Cuts a text where no match of the split pattern crosses: before a single space, or around runs of white space.
+
+    A space before a chunk is left out: each chunk but the first stands for itself with a space before it. Where a space
+    follows other white space the cuts are made around it, and each chunk is preceded by NUL, which stands for no space.
+    """
+    if not text.endswith(" ") and not any(x in text for x in _SPACED):
+        first, *rest = text.split(" ")
+        return ["\0" + first, *rest] if first else rest
+    return ["\0" + x for x in _chunks(text)]
+
+
+def whole(chunk: str) -> str:
+    return chunk[1:] if chunk.startswith("\0") else " " + chunk
+
+
 def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str) -> str:
     """Writes ``part=N/`` for each partition of ``docs``: its distinct pieces and their ids. Returns the folder."""
     spark = docs.sparkSession
@@ -120,37 +143,33 @@ def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, t
         held: set[str] = set()
 
         def rows():
-            names = [x for x in held if not _long(x)]
+            names = list({y for x in held for y in find(whole(x)) if not _long(y)})
             return pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string())], names=["part", "piece"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(find(text))
+                held.update(chunks(text))
                 if len(held) > GATHER:
                     yield rows()
                     held.clear()
         yield rows()
 
-    found = materialize(docs.select(body(text_col)).mapInArrow(gather, "part int, piece string"), "pieces")
     n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism * 2)
-    words = found.select("piece").repartition(n, "piece").distinct()
-    encoded = materialize(words.select("piece", RankTable(ranks).encode(F.col("piece")).alias("ids")), "encoded")
-    folder = fresh_dir(spark, "dictionaries")
-    own = found.distinct().join(encoded, "piece").repartition(n, "part")
-    own.write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    found = docs.select(body(text_col)).mapInArrow(gather, "part int, piece string")
+    words = found.repartition(n, "piece").groupBy("piece").agg(F.collect_set("part").alias("parts"))
+    encoded = materialize(words.select("parts", "piece", RankTable(ranks).encode(F.col("piece")).alias("ids")), "encoded")
+    folder = write_by_part(encoded, ["piece", "ids"], n)
+    discard(encoded)
+    release(spark)
     return folder
 
 
 def _dictionary(folder: str, part: int) -> dict[str, bytes]:
-    fs, where = pafs.FileSystem.from_uri(f"{folder}/part={part}")
     known: dict[str, bytes] = {}
-    if fs.get_file_info(where).type != pafs.FileType.Directory:
-        return known
-    for info in fs.get_file_info(pafs.FileSelector(where)):
-        if info.path.endswith(".parquet"):
-            with fs.open_input_file(info.path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(20_000, columns=["piece", "ids"]):
-                    known.update(zip(batch.column("piece").to_pylist(), map(_pack, batch.column("ids").to_pylist()), strict=True))
+    for batch in part_batches(folder, part, ["piece", "ids"]):
+        ids = batch.column("ids")
+        packed, ends = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+        known.update(zip(batch.column("piece").to_pylist(), (packed[a:b] for a, b in pairwise(ends)), strict=True))
     return known
 
 
@@ -173,20 +192,24 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         from pyspark import TaskContext
 
         known, find = _dictionary(folder, TaskContext.get().partitionId()), regex.compile(pattern).findall
-        tokens = {r: t for t, r in shared.value.items()}
+        tokens = [b""] * (max(shared.value.values()) + 1)
+        for token, rank in shared.value.items():
+            tokens[rank] = token
+
 
-        def ids_of(text: str) -> bytes:
-            pieces = find(text)
-            try:
-                return b"".join([known[x] for x in pieces])
-            except KeyError:
-                return b"".join([known.get(x) or _pack(merge_long(x.encode("utf-8", "surrogatepass"), shared.value)) for x in pieces])
+        class ByChunk(dict):
+            def __missing__(self, x: str) -> bytes:
+                ids = b"".join([known.get(y) or _pack(merge_long(y.encode("utf-8", "surrogatepass"), shared.value)) for y in find(whole(x))])
+                if len(self) < GATHER:
+                    self[x] = ids
+                return ids
 
+        ids_of = ByChunk().__getitem__
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                ids = [ids_of(x or "") for x in part.column(at).to_pylist()]
-                decoded = [b"".join(map(tokens.__getitem__, array("I", x).tolist() if sys.byteorder == "little" else struct.unpack(f"<{len(x) // 4}I", x))) for x in ids]
+                ids = [b"".join(map(ids_of, chunks(x or ""))) for x in part.column(at).to_pylist()]
+                decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
                 cols = [part.column(i) for i in keep_at] + [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 

@@ -37,7 +37,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_dir(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rankweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing will read it again."""
+    for df in tables:
+        delete_dir(df.sparkSession, df.rankweave_path)
 
 
 def release(spark: SparkSession) -> None:
@@ -76,3 +84,25 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count_col: str,
     hot = F.broadcast(right.filter(F.col(count_col) > limit))
     cold = right.filter(F.col(count_col) <= limit)
     return left.join(hot, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def write_by_part(entries: DataFrame, columns: list[str], n: int) -> str:
+    """Write the rows of ``entries`` (``parts``: an array of partition numbers) once for each of their parts, a folder a
+    part. A part's rows are what one partition of a scan holds, so no task writes more than that for it."""
+    folder = fresh_dir(entries.sparkSession, "parts")
+    rows = entries.select(F.explode("parts").alias("part"), *columns).repartition(n, "part")
+    rows.write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def part_batches(folder: str, part: int, columns: list[str]):
+    """Arrow batches of what ``write_by_part`` wrote for ``part``; runs in tasks."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, where = pafs.FileSystem.from_uri(f"{folder}/part={part}")
+    if fs.get_file_info(where).type == pafs.FileType.Directory:
+        for info in fs.get_file_info(pafs.FileSelector(where)):
+            if info.path.endswith(".parquet"):
+                with fs.open_input_file(info.path) as file:
+                    yield from pq.ParquetFile(file).iter_batches(20_000, columns=columns)
