@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, quality, token_table
+from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality, token_table
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_html_extract": html_extract.op7_html_extract,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_token_table": token_table.op10_token_table,
 }
