@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality, token_table
+from rankweave.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, line_dedup, lm_score, quality, substring_dedup, token_table
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
