@@ -32,8 +32,9 @@ VOCABULARY = "word_bpe_49k.json"
 BLOCK_BYTES = 64 * 1024
 SHARD_BYTES = 32 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7  # bits a key; about 1 % of absent keys pass
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 MAGIC = b"RWSST001"
+_PLAIN = chr(0x130)  # letters below it change neither number nor kind when they are lower-cased or normalised
 _FOOTER = struct.Struct("<QQQQII8s")
 #: White space as the tokenizer's normaliser has it; no token crosses it.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -149,11 +150,19 @@ class ShardReader:
         return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def encoder(path: str, end_id: int | None = END_ID, cache_words: int = CACHE_WORDS):
     """A function from texts to their ids as little-endian 16-bit integers.
 
-    No token of this vocabulary crosses white space, so words are encoded once and kept; the store is emptied when it
-    is full, which bounds it and changes no result.
+    No token of this vocabulary crosses white space, so words are encoded once and kept. The store has two generations
+    of ``cache_words``: a full one becomes the old one, whose words move back when they are met again; what is in it
+    changes no result. Plain letters, maybe with a full stop or comma behind them, go to the tokenizer's model directly.
     """
     import os
 
@@ -163,36 +172,44 @@ def encoder(path: str, end_id: int | None = END_ID, cache_words: int = CACHE_WOR
     own = Tokenizer.from_file(path)
     if own.get_vocab_size() > 1 << 16:
         raise ValueError("the ids do not fit 16 bits")
-    known: dict[str, bytes] = {}
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
     end = b"" if end_id is None else struct.pack("<H", end_id)
+    pieces, letters = own.model.tokenize, _byte_letters()
+
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    marks = {"": b""} | {x: pack(own.encode(x, add_special_tokens=False).ids) for x in ".,"}
 
     def encode(texts: list[str | None]) -> Iterator[bytes]:
+        nonlocal young, old
         for first in range(0, len(texts), 64):
             split = [(x or "").split() if not x or not _NOT_SPACE.search(x) else [w for w in _SPACE.split(x) if w] for x in texts[first: first + 64]]
-            if len(known) > cache_words:
-                known.clear()
-            new = list({w for ws in split for w in ws if w not in known})
-            for w, e in zip(new, own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+            if len(young) > cache_words:
+                young, old = {}, young
+            others = []
+            for w in set().union(*split).difference(young):
+                if (ids := old.get(w)) is not None:
+                    young[w] = ids
+                    continue
+                stem, mark = (w[:-1], w[-1]) if w[-1] in marks else (w, "")
+                if not stem.isalpha() or max(stem) >= _PLAIN:
+                    others.append(w)
+                    continue
+                stem = stem.lower()
+                if (ids := young.get(stem) or old.get(stem)) is None:
+                    ids = pack([x.id for x in pieces(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))])
+                young[stem] = ids
+                young[w] = ids + marks[mark]
+            for w, e in zip(others, own.encode_batch_fast(others, add_special_tokens=False), strict=True):
+                young[w] = pack(e.ids)
             for ws in split:
-                yield b"".join([*map(known.__getitem__, ws), end])
+                yield b"".join([*map(young.__getitem__, ws), end])
 
     return encode
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """``id``, ``ids`` (little-endian 16-bit integers, the end id last) and ``n`` of every row; null text: only the end."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = list(encode(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], names=["id", "ids", "n"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text")).mapInArrow(run, "id long, ids binary, n long")
-
-
 def _open(path: str):
     fs, where = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     return fs, where
@@ -201,16 +218,19 @@ def _open(path: str):
 MANIFEST = "part int, path string, bytes long, first_id long, last_id long, n_docs long, n_ids long"
 
 
-def write_shards(encoded: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write ``encoded`` (see encode_ids; already materialised) in ascending id order; returns the manifest, one row a shard.
+def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID,
+                 shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encode ``docs`` and write them in ascending id order; returns the manifest, one row a shard.
 
-    Ids are dealt to tasks by ranges of them. A task cuts its range into shards of about ``shard_bytes`` and writes each
-    under a name of its own attempt; only the names that successful attempts return come into the manifest, so that a
-    task may fail and run again. Rows that share an id stand in the order of their token ids.
+    Ids are dealt to tasks by ranges of them. A task encodes its range and cuts it into shards of about ``shard_bytes``,
+    each written under a name of its own attempt; only the names that successful attempts return come into the manifest,
+    so that a task may fail and run again. Rows that share an id stand in the order of their texts; a null text has only
+    the end id, a null id stands first; without rows there is no shard.
     """
-    spark = encoded.sparkSession
-    total = encoded.agg(F.sum(F.length("ids")), F.count("*")).first()
-    parts = max(spark.sparkContext.defaultParallelism, int((total[0] or 0) // shard_bytes) + 1)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, int(total // shard_bytes) + 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -229,8 +249,9 @@ def write_shards(encoded: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
             rows[-1][2] = fs.get_file_info(name).size
             rows[-1][5:] = [writer.n, writer.ids]
 
+        encode = encoder(path, end_id)
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 if writer is not None and writer.at >= shard_bytes and key != rows[-1][4]:
                     close()
                     writer = None
@@ -248,8 +269,8 @@ def write_shards(encoded: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
             names = [x.split()[0] for x in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    ranged = encoded.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    return materialize(ranged.select("id", "ids").mapInArrow(write, MANIFEST), "manifest")
+    ranged = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    return materialize(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -297,7 +318,6 @@ def lookup(manifest: DataFrame, doc_id: int) -> list[list[int]]:
 def op10_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = materialize(encode_ids(docs, public_tokenizers.path(VOCABULARY)), "ids")
-    manifest = write_shards(encoded, fresh_dir(spark, "tokens"))
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_shards(docs, fresh_dir(spark, "tokens"), public_tokenizers.path(VOCABULARY))
     return read_shards(manifest).drop("ids")
