@@ -1,9 +1,10 @@
 """Quality rules: a log-likelihood ratio of hashed n-grams between trusted documents and the whole corpus.
 
-Features are the words and runs of punctuation of the lower-cased text, alone and in pairs, hashed into ``BUCKETS``. Two
+Features are the lower-cased words without the punctuation at their ends, those ends, and pairs of neighbouring words, hashed
+into ``BUCKETS``. Two
 multinomials over the buckets, of the trusted documents and of all documents, give every bucket a log ratio; buckets whose two
-counts differ by no more than chance get none. A document's score is the mean over its features, so that length plays no
-part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths, so that
+counts differ by no more than chance get none. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length plays
+little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths, so that
 the verdict does not depend on the order of any sum.
 """
 
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 from rankweave.llm.common import body, id_key, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[!-/:-@\[-`{-~]+"
+SPACE = " \t\n\x0b\x0c\r"
+PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
 BUCKETS = 1 << 18
 #: Trusted documents are at most so many (those with the least hash of the id); counts of the corpus are over all of it.
 TRUSTED_DOCS = 50_000
 SMOOTHING, SIGNIFICANCE = 5.0, 4.0
-THRESHOLD = -0.006
+PRIOR_WORDS = 100  # words without a say that every document has besides its own, so that no single one rejects a short text
+THRESHOLD = -0.015
 UNIT = 1_000_000
 
 
@@ -38,7 +41,7 @@ def repeated_words(words: Column, window: int = REPEAT_WORDS) -> Column:
     def doubled(hashes: Column, size: int) -> Column:
         return _let(hashes, lambda h: F.zip_with(h, F.slice(h, size + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
 
-    hashes, size = F.transform(words, lambda w: F.xxhash64(w)), 1
+    hashes, size = words, 1
     while size < window:
         hashes, size = doubled(hashes, size), 2 * size
 
@@ -65,19 +68,22 @@ def base_rules(text: Column) -> dict[str, Column]:
     }
 
 
-def features(text: Column) -> Column:
-    """(token, the next token or null) for every token."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return _let(tokens, lambda t: F.transform(t, lambda x, i: F.struct(x.alias("a"), F.get(t, i + 1).alias("b"))))
+def word_list(text: Column) -> Column:
+    """The words of a text, in order."""
+    trimmed = F.trim(text, F.lit(SPACE))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
     """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
     others = [c for c in rows.columns if c != "__text"]
-    pairs = rows.select(*others, F.explode(features(F.col("__text"))).alias("f"))
-    pair = F.when(F.col("f.b").isNotNull(), F.xxhash64("f.a", F.lit("\x01"), "f.b"))
-    both = pairs.select(*others, F.explode(F.array(F.xxhash64("f.a"), pair)).alias("bucket")).filter(F.col("bucket").isNotNull())
-    return both.withColumn("bucket", F.col("bucket").bitwiseAND(BUCKETS - 1).cast("int"))
+    words = rows.select(*others, word_list(F.lower("__text")).alias("w"))
+    words = words.select(*others, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("f"))
+    stem = F.rtrim(F.col("f.a"), F.lit(PUNCTUATION))
+    words = words.select(*others, "f.a", "f.b", stem.alias("stem"), F.substring(F.col("f.a"), F.length(stem) + 1, F.length(F.col("f.a"))).alias("end"))
+    three = F.array(F.when(F.col("stem") != "", F.xxhash64(F.lit(1), "stem")), F.when(F.col("end") != "", F.xxhash64(F.lit(2), "end")), F.when(F.col("b").isNotNull(), F.xxhash64(F.lit(3), "a", "b")))
+    found = words.select(*others, F.explode(three).alias("bucket")).filter(F.col("bucket").isNotNull())
+    return found.withColumn("bucket", F.col("bucket").bitwiseAND(BUCKETS - 1).cast("int"))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
@@ -102,7 +108,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``,
-    ``score`` (mean log ratio; 0 without features) and ``kept``; input columns of these names are replaced.
+    ``score`` (log ratio for each word; 0 without words) and ``kept``; input columns of these names are replaced.
 
     A null text has no words and fails the base rules, as does an empty one. Without trusted documents every score is 0.
     Rows with equal id and text get equal results. Only DataFrame functions; nothing leaves the JVM.
@@ -115,21 +121,16 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sums = hits.groupBy("__k", "__x").agg(F.sum("weight").alias("__sum"))
 
     rows = docs.select(*kept, id_key(id_col).alias("__k"), body(text_col).alias("__text"))
-    rows = rows.withColumn("__x", F.xxhash64("__text")).withColumn("__words", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)))
-    tokens = F.size(F.regexp_extract_all(F.col("__text"), F.lit(TOKEN_ANY_CASE), F.lit(0)))
-    rows = rows.withColumns({**base_rules(F.col("__text")), "__features": F.greatest(2 * tokens - 1, F.lit(0))}).drop("__words", "__text")
+    rows = rows.withColumn("__x", F.xxhash64("__text")).withColumn("__words", word_list(F.col("__text")))
+    rows = rows.withColumns(base_rules(F.col("__text"))).drop("__words", "__text")
     rows = rows.join(sums, ["__k", "__x"], "left").withColumn("__sum", F.coalesce("__sum", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    passed = F.col("__sum") >= F.col("__features") * round(threshold * UNIT)
-    score = F.when(F.col("__features") > 0, F.col("__sum") / F.col("__features") / UNIT).otherwise(0.0)
+    passed = F.col("__sum") >= (F.col("n_words") + PRIOR_WORDS) * round(threshold * UNIT)
+    score = F.col("__sum") / (F.col("n_words") + PRIOR_WORDS) / UNIT
     rows = rows.withColumns({"base_failed": failed, "score": score, "kept": ~failed & passed})
     return rows.select(*kept, *made)
 
 
-#: TOKEN as it matches before A-Z are lower-cased: as many tokens.
-TOKEN_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[!-/:-@\[-`{-~]+"
-
-
 def _repeats(docs: DataFrame, id_col: str) -> bool:
     """Whether an id has more than one row."""
     return docs.groupBy(F.col(id_col)).count().filter("count > 1").limit(1).count() > 0
