@@ -216,10 +216,14 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     return docs.mapInArrow(run, schema)
 
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and digests of the ids and of the decoded bytes."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode_bytes(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    out = encode_bytes(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
