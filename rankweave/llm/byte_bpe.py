@@ -29,7 +29,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The fold looks at every pair of a piece for every merge; longer pieces go through a heap instead, with the same result.
 FOLD_BYTES = 256
 BUCKETS = 65536
-GATHER = 600_000  # distinct words that a task holds before it hands their pieces on
+GATHER = 300_000  # distinct words that a task holds before it hands their pieces on
+KEEP = 400_000  # distinct words whose ids a task keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -200,7 +201,7 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         class ByChunk(dict):
             def __missing__(self, x: str) -> bytes:
                 ids = b"".join([known.get(y) or _pack(merge_long(y.encode("utf-8", "surrogatepass"), shared.value)) for y in find(whole(x))])
-                if len(self) < GATHER:
+                if len(self) < KEEP:
                     self[x] = ids
                 return ids
 

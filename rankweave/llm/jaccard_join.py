@@ -12,51 +12,54 @@ from __future__ import annotations
 
 import hashlib
 import math
-import string
 import struct
+import uuid
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import body, id_key, join_hot, materialize, release, shuffle_partitions, table, NULL_ID
+from rankweave.llm.common import body, fresh_dir, id_key, join_hot, materialize, release, shuffle_partitions, table, NULL_ID
 from rankweave.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
-GROUP_SETS, GROUP_BYTES = 2000, 16 << 20  # a task joins no more sets and no more text than this at once (twice it, across blocks)
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+GROUP_SETS, GROUP_CHARS = 2000, 16_000_000  # a task joins no more sets and no more text than this at once (twice it, across blocks)
+GATHER = 1_000_000  # signatures that a task groups at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash_word(word: str) -> int:
-    return struct.unpack("<Q", hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
+class _Hashes(dict):
+    """64-bit hashes of words; remembers as many as ``keep``."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < self.keep:
+            self[word] = value
+        return value
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; keeps the hashes of ``keep`` words."""
+    """Sorted distinct 64-bit hashes of a text's shingles."""
 
-    def __init__(self, n: int = SHINGLE, keep: int = 300_000):
-        self.n, self.keep, self.known = n, keep, {}
+    def __init__(self, n: int = SHINGLE, keep: int = 500_000):
+        self.n, self.hash = n, _Hashes(keep).__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORDS((text or "").translate(_LOWER))
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and the white space of ASCII
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = _hash_word(w)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.hash, words), np.uint64, len(words))
         n = min(self.n, len(h))
+        mixed = np.full(len(h) - n + 1, n, np.uint64)
         with np.errstate(over="ignore"):
-            mixed = np.full(len(h) - n + 1, n, np.uint64)
             for i in range(n):  # order counts: every step multiplies and turns what came before
                 mixed = (mixed ^ h[i:len(h) - n + 1 + i]) * _MIX
                 mixed ^= mixed >> np.uint64(29)
@@ -77,7 +80,8 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
     Linked sets differ in at most d shingles, so if the shingles are dealt by hash into more than d parts, one part is
     equal in both. d follows from the sizes; sets whose sizes permit a link are in the same class of sizes or in
-    neighbouring ones, so each set deals itself out once for its own class and once for the next.
+    neighbouring ones, so each set deals itself out for its own class, in which it may be the smaller of a pair, and for the
+    class before it, in which it may be the larger.
     """
     n, step, out = len(shingles), 100 / percent, []
     own = int(math.log(n) / math.log(step)) if n else 0
@@ -85,18 +89,18 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         own -= 1
     while step ** (own + 1) <= n:
         own += 1
-    for c in (own, own + 1):
-        largest = math.floor(step ** (c + 1)) + 1
-        parts = 2 * largest - 2 * need(largest, largest, percent) + 2
-        with np.errstate(over="ignore"):
-            mixed = (shingles ^ np.uint64(c)) * _MIX
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= np.uint64(0xD6E8FEB86659FD93)
+    with np.errstate(over="ignore"):
+        mixed = shingles * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        for c in (own - 1, own):
+            small = math.ceil(step ** (c + 1))
+            large = small * 100 // percent + 1
+            parts = small + large - 2 * need(small, large, percent) + 3
             part = ((shingles >> np.uint64(11)) * np.uint64(parts) >> np.uint64(53)).astype(np.int64)
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, part, mixed ^ (mixed >> np.uint64(32)))
-            sig = (sums ^ np.arange(parts, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) ^ np.uint64(c << 40)) * _MIX
-        out.append((sig ^ (sig >> np.uint64(32)))[np.bincount(part, minlength=parts) > 0])
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))  # the shingles are sorted, so the parts are
+            sums = np.add.reduceat(mixed, first)
+            sig = (sums ^ part[first].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) ^ np.uint64((c + 1) << 40)) * _MIX
+            out.append(sig ^ (sig >> np.uint64(32)))
     return np.concatenate(out).view(np.int64)
 
 
@@ -200,7 +204,15 @@ def _group_links(key, members: pa.Table, percent: int, n: int) -> pa.Table:
             same.append(comp)
             sides.append(side)
     join = GroupJoin(sets, percent, same, sides if max(sides) >= 0 else None)
-    return pa.table({"a": pa.array([ids[x] for x, _ in join.links], pa.int64()), "b": pa.array([ids[y] for _, y in join.links], pa.int64())})
+    if max(sides) >= 0:
+        pairs = [(ids[x], ids[y]) for x, y in join.links]
+    else:  # the components themselves: every set with the one of the least id
+        least: dict[int, int] = {}
+        for i, sid in enumerate(ids):
+            root = join.find(i)
+            least[root] = min(sid, least.get(root, sid))
+        pairs = [(sid, least[join.find(i)]) for i, sid in enumerate(ids)]
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
 def _links(tasks: DataFrame, keys: list[str], percent: int, n: int) -> DataFrame:
@@ -217,8 +229,16 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "sid", "left").withColumn("comp", F.coalesce("comp0", "sid")).drop("comp0")
 
 
+def _bucketed(texts: DataFrame, n: int) -> DataFrame:
+    """``texts`` by (key, hash) in buckets, as the join that made them deals them: later joins move only the other side."""
+    name, spark = f"sets_{uuid.uuid4().hex}", texts.sparkSession
+    texts.write.format("parquet").option("path", fresh_dir(spark, "texts")).option("compression", "zstd").bucketBy(n, "key", "hash").sortBy("key", "hash").saveAsTable(name)
+    release(spark)
+    return spark.table(name)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = SHINGLE,
-                    group_sets: int = GROUP_SETS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+                    group_sets: int = GROUP_SETS, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row per row of ``docs``: ``key`` (the id; null: the least long), ``hash`` (xxhash64 of the text), ``n_shingles``
     and ``component`` (the least key that is reachable by links, its own included).
 
@@ -226,7 +246,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Sets link when 100 * overlap >= percent * union. Null and empty texts and those of white space have empty sets and
     are linked with nothing: each is the component of its own id. Rows that share an id and differ in text are sets of their own.
 
-    No step puts more than ``group_sets`` sets or ``group_bytes`` of text (a longer text alone) into a task: larger groups are
+    No step puts more than ``group_sets`` sets or ``group_chars`` of text (a longer text alone) into a task: larger groups are
     joined in blocks, then the first block with every other; then those that are not yet in the group's largest component
     with every block. Pairs that are left out are of one component already, so the components are exact.
     """
@@ -236,44 +256,62 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
-            sets = [shingle(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64())],
-                                             names=["key", "hash", "n_shingles", "sid"])
+            texts = batch.column(1).to_pylist()
+            sets = [shingle(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, texts), pa.int64())],
+                                             names=["key", "hash", "n_shingles", "sid", "size"])
 
-    rows = materialize(own.mapInArrow(describe, "key long, hash long, n_shingles long, sid long"), "sets")
+    rows = materialize(own.mapInArrow(describe, "key long, hash long, n_shingles long, sid long, size long"), "sets")
     total = rows.count()
-    sets = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("key", "hash")).alias("rep"), F.count("*").alias("copies"))
-    sets = materialize(sets.select("sid", "rep.key", "rep.hash", "copies"), "distinct")
-    texts = materialize(own.join(sets.select("sid", "key", "hash"), ["key", "hash"]).select("sid", "text"), "texts")
+    sets = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("key", "hash", "size")).alias("rep"), F.count("*").alias("copies"))
+    sets = materialize(sets.select("sid", "rep.*", "copies"), "distinct")
+    texts = _bucketed(own.join(sets.select("sid", "key", "hash"), ["key", "hash"]).select("key", "hash", "sid", "text"), shuffle_partitions(spark))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
+        """(sig, sid, null) once for each signature, with the least sid; (null, sid, other sid) for the others that have it."""
+        shingle, sigs, sids, held = Shingler(n), [], [], 0
+
+        def grouped():
+            sig, sid = np.concatenate(sigs), np.concatenate(sids)
+            order = np.lexsort((sid, sig))
+            sig, sid = sig[order], sid[order]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(sid[first]), pa.nulls(int(first.sum()), pa.int64())], names=["sig", "sid", "other"])
+            least = sid[first][np.cumsum(first) - 1]
+            pairs = np.unique(np.stack([least, sid], 1)[least != sid], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sig", "sid", "other"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sids = batch.column(0).slice(at, 500).to_numpy()
-                found = [signatures(shingle(x), percent) for x in batch.column(1).slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(sids, [len(x) for x in found]))], names=["sig", "sid"])
-
-    signed = texts.mapInArrow(sign, "sig long, sid long")
-    shared = signed.groupBy("sig").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a < z")
-    shared = materialize(shared.select("sig", "a"), "shared")
-    edges = signed.join(shared, "sig").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sigs.append(signatures(shingle(text), percent))
+                sids.append(np.full(len(sigs[-1]), sid))
+                held += len(sigs[-1])
+                if held > GATHER:
+                    yield from grouped()
+                    sigs, sids, held = [], [], 0
+        if held:
+            yield from grouped()
+
+    signed = texts.select("sid", "text").mapInArrow(sign, "sig long, sid long, other long")
+    by_sig = Window.partitionBy("sig", "other")  # "other" only spreads the rows of the second kind
+    least = F.when(F.col("sig").isNull(), F.col("sid")).otherwise(F.min("sid").over(by_sig))
+    edges = signed.select(least.alias("a"), F.coalesce("other", "sid").alias("b")).filter("a <> b").distinct()
     groups = components(materialize(edges, "candidates")).select(F.col("node").alias("sid"), F.col("root").alias("gid"))
 
-    members = texts.join(groups, "sid").withColumn("bytes", F.octet_length("text"))
-    members = materialize(members, "members")
-    sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("bytes").alias("w"))
-    sizes = sizes.select("gid", F.greatest(F.ceil(F.col("m") / group_sets), F.ceil(F.col("w") / group_bytes)).cast("int").alias("nb"))
-    blocks = members.drop("text", "bytes").join(sizes, "gid").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+    members = materialize(sets.join(groups, "sid").select("sid", "key", "hash", "size", "gid"), "members")
+    sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("size").alias("w"))
+    sizes = sizes.select("gid", F.greatest(F.ceil(F.col("m") / group_sets), F.ceil(F.col("w") / group_chars)).cast("int").alias("nb"))
+    blocks = members.drop("size").join(sizes, "gid").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     blocks = materialize(blocks, "blocks")
 
-    tasks = members.select("sid", "text").join(blocks, "sid").select("gid", "blk", "sid", F.col("sid").alias("comp"), F.lit(-1).alias("side"), "text")
+    tasks = texts.select("key", "hash", "text").join(blocks, ["key", "hash"]).select("gid", "blk", "sid", F.col("sid").alias("comp"), F.lit(-1).alias("side"), "text")
     links = _links(tasks, ["gid", "blk"], percent, n)
     big = blocks.filter("nb > 1")
     if big.limit(1).count():
-        links = _across(members, big, links, percent, n, group_sets)
-
-    labels = _labelled(blocks.select("sid"), links)
+        inside = links.join(big.select(F.col("sid").alias("a")), "a", "left_semi")
+        across = components(_across(texts, big, materialize(inside, "links"), percent, n, group_sets))
+        links = links.join(across, links.a == across.node, "left").select("a", F.coalesce("root", "b").alias("b"))
+    labels = links.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
     least = sets.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = least.groupBy("comp").agg(F.min("key").alias("component")).join(least.select("sid", "comp", "copies"), "comp")
     least = materialize(least.select("sid", "component", "copies"), "classes")
@@ -283,19 +321,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("key", "hash", "n_shingles", "component").unionByName(alone.select("key", "hash", "n_shingles", "component"))
 
 
-def _across(members: DataFrame, big: DataFrame, links: DataFrame, percent: int, n: int, group_sets: int) -> DataFrame:
+def _across(texts: DataFrame, big: DataFrame, links: DataFrame, percent: int, n: int, group_sets: int) -> DataFrame:
     """Links between the blocks of the groups that have several."""
-    texts, cols = members.select("sid", "text"), ["gid", "task", "sid", "comp", "side", "text"]
+    cols = ["gid", "task", "sid", "comp", "side", "text"]
 
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
         both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-        return _links(texts.join(both, "sid").select(*cols), ["gid", "task"], percent, n)
+        return _links(texts.select("key", "hash", "text").join(both, ["key", "hash"]).select(*cols), ["gid", "task"], percent, n)
 
     now = materialize(_labelled(big, links), "labelled")
     first = now.filter("blk = 0").withColumn("task", F.explode(F.sequence(F.lit(1), F.col("nb") - 1)))
     rest = now.filter("blk > 0").withColumn("task", F.col("blk"))
-    keep = ["gid", "task", "sid", "comp"]
-    links = links.unionByName(joined(first.select(*keep), rest.select(*keep)))
+    keep = ["gid", "task", "sid", "key", "hash", "comp"]
+    links = materialize(links.unionByName(joined(first.select(*keep), rest.select(*keep))), "links")
 
     now = materialize(_labelled(big, links), "labelled")
     most = now.groupBy("gid", "comp").count().groupBy("gid").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
@@ -304,9 +342,9 @@ def _across(members: DataFrame, big: DataFrame, links: DataFrame, percent: int,
     left = left.join(parts, "gid").withColumn("lblk", F.pmod(F.xxhash64("sid"), F.col("lb")).cast("int"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     every = now.join(parts, "gid").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lb") - 1)))
-    left = left.select("gid", (F.col("lblk").cast("long") * F.col("nb") + F.col("j")).alias("task"), "sid", "comp")
-    every = every.select("gid", (F.col("i").cast("long") * F.col("nb") + F.col("blk")).alias("task"), "sid", "comp")
-    return links.unionByName(joined(left, every))
+    left = left.select("gid", (F.col("lblk").cast("long") * F.col("nb") + F.col("j")).alias("task"), "sid", "key", "hash", "comp")
+    every = every.select("gid", (F.col("i").cast("long") * F.col("nb") + F.col("blk")).alias("task"), "sid", "key", "hash", "comp")
+    return materialize(links.unionByName(joined(left, every)), "links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:

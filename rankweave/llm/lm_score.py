@@ -53,7 +53,8 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.ids[model.id_to_piece(i)] = i
             rank[i] = max(0.0, -model.get_score(i))
-        self.longest = max(map(len, self.ids))
+        #: By every beginning of a piece: the piece's id, or -1 where it is only a beginning.
+        self.starts = {x[:n]: -1 for x in self.ids for n in range(1, len(x))} | self.ids
         weight = 1.0 / (rank + 10.0)
         used = np.zeros(len(rank), bool)
         used[list(self.ids.values()) + self.bytes] = True
@@ -66,7 +67,7 @@ class Lattice:
     """The paths of a batch of words, as arcs by where they end."""
 
     def __init__(self, vocabulary: Vocabulary, batch: list[bytes]):
-        ids, longest = vocabulary.ids, vocabulary.longest
+        known = vocabulary.starts.get
         self.extra: dict[str, int] = {}  # characters without a piece: paths of byte pieces, with ids after all others
         word, start, stop, piece = [], [], [], []
         lengths = []
@@ -75,16 +76,24 @@ class Lattice:
             n = len(s)
             lengths.append(n)
             for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = ids.get(s[i:j])
+                before = len(piece)
+                for j in range(i + 1, n + 1):
+                    p = known(s[i:j])
                     if p is None:
-                        if j > i + 1:
-                            continue
+                        p = -1
+                        last = True
+                    else:
+                        last = False
+                    if j == i + 1 and p < 0:
                         p = vocabulary.end + 1 + self.extra.setdefault(s[i], len(self.extra))
-                    word.append(k)
-                    start.append(i)
-                    stop.append(j)
-                    piece.append(p)
+                    if p >= 0:
+                        piece.append(p)
+                        stop.append(j)
+                    if last:
+                        break
+                arcs = len(piece) - before
+                start += [i] * arcs
+            word += [k] * (len(piece) - len(word))
         self.word, self.start, self.stop, self.piece = (np.array(x, np.int64) for x in (word, start, stop, piece))
         self.lengths = np.array(lengths, np.int64)
         self.by_stop = np.lexsort((self.word, self.stop))

@@ -12,6 +12,7 @@ strings have equal anchors. One position in 15 is an anchor, and each stands for
 * 80 bytes: an anchor whose whole surroundings an earlier document has is settled: all its strings are repeats. Only the first
   document with such surroundings goes on.
 * 35 bytes: of its strings, each holds the 15 bytes before the anchor or the 15 behind it; a half that no other document has drops out.
+* 65 bytes: a half is settled where an earlier document has all of its strings in one piece.
 * 50 bytes: what is left is compared string by string.
 
 (A row for every byte and round, as the textbook has it, would write more than ten times the text.)
@@ -21,11 +22,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import uuid
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.common import NULL_ID, body, discard, fresh_dir, id_key, join_hot, materialize, release, shuffle_partitions, table
@@ -188,7 +190,10 @@ def _name_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 none = np.uint64(0)
                 before = np.where(left >= HALF, n35[np.clip(at - HALF, 0, len(n35) - 1)], none)
                 behind = np.where(right >= HALF, n35[np.clip(at, 0, len(n35) - 1)], none)
-                yield _emit({"h": h[i], "k": keys[rows[i]], "pos": pos[i].astype(np.int32), "cx": around, "before": before, "behind": behind})
+                n65 = _mix(_mix(n32[:-33], n32[32:-1]), n32[33:]) if len(n32) > 33 else n32[:1]
+                all_before = np.where((left == REACH) & (right >= HALF), n65[np.clip(at - REACH, 0, len(n65) - 1)], none)
+                all_behind = np.where((left >= HALF) & (right == REACH), n65[np.clip(at - HALF, 0, len(n65) - 1)], none)
+                yield _emit({"h": h[i], "k": keys[rows[i]], "pos": pos[i].astype(np.int32), "cx": around, "before": before, "behind": behind, "all_before": all_before, "all_behind": all_behind})
 
 
 def _name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +211,7 @@ def _name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     half = np.where(shift >= HALF, halves[i] & 1, 0) | np.where(REACH - shift >= HALF, halves[i] & 2, 0)
                     j = np.flatnonzero((shift <= left) & (REACH - shift <= right) & (half > 0))
                     if len(j):
-                        yield _emit({"h": h[i[j]], "name": n50[at[j] - shift], "k": keys[rows[i[j]]], "pos": pos[i[j]].astype(np.int32), "shift": np.full(len(j), shift, np.int32)})
+                        yield _emit({"name": _mix(n50[at[j] - shift], h[i[j]].view(np.uint64)), "k": keys[rows[i[j]]], "at": pos[i[j]] * (REACH + 1) + shift})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +293,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # 80 bytes around
     members = found.select("k", F.struct("pos", "h").alias("at"))
-    around = with_texts(members).mapInArrow(_name_surroundings, "h long, k long, pos int, cx long, before long, behind long")
+    around = with_texts(members).mapInArrow(_name_surroundings, "h long, k long, pos int, cx long, before long, behind long, all_before long, all_behind long")
     around = materialize(around, "around")
     discard(found)
     seen = materialize(around.groupBy("h", "cx").agg(F.min("k").alias("f"), F.count("*").alias("n")), "seen")
@@ -296,22 +301,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(seen)
     hits = [around.filter("k > f").select("k", "pos", F.lit(ALL).cast("long").alias("mask"))]
 
-    # 35 bytes, before and behind
-    open_ = around.filter("k = f").select("h", "k", "pos", "before", "behind")
+    # 35 bytes before and behind, and where those are shared the 65 that hold all strings with them
+    open_ = around.filter("k = f").drop("f", "n", "cx")
     halves = []
-    for bit, half in ((1, "before"), (2, "behind")):
-        several = open_.filter(f"{half} <> 0").select("h", half, "k", "pos")
-        halves.append(join_hot(several, _shared(several, ["h", half]), ["h", half], "n", total).select("h", "k", "pos", F.lit(bit).alias("bit")))
+    for bit, half, shifts in ((1, "before", range(HALF, REACH + 1)), (2, "behind", range(HALF + 1))):
+        several = open_.filter(f"{half} <> 0").select("h", half, "k", "pos", f"all_{half}")
+        several = join_hot(several, _shared(several, ["h", half]), ["h", half], "n", total).drop("f", "n")
+        several = materialize(several, "half")
+        whole = several.groupBy("h", f"all_{half}").agg(F.min("k").alias("f"), F.count("*").alias("n"))
+        several = join_hot(several, materialize(whole, "whole"), ["h", f"all_{half}"], "n", total)
+        settled = (F.col(f"all_{half}") != 0) & (F.col("k") > F.col("f"))
+        several = materialize(several.select("h", "k", "pos", settled.alias("settled")), "half")
+        hits.append(several.filter("settled").select("k", "pos", F.lit(sum(1 << x for x in shifts)).cast("long").alias("mask")))
+        halves.append(several.filter("NOT settled").select("h", "k", "pos", F.lit(bit).alias("bit")))
     halves = halves[0].unionByName(halves[1]).groupBy("h", "k", "pos").agg(F.bit_or("bit").alias("halves"))
 
     # 50 bytes
     members = materialize(halves.select("k", F.struct("pos", "h", "halves").alias("at")), "halves")
-    strings = materialize(with_texts(members).mapInArrow(_name_strings, "h long, name long, k long, pos int, shift int"), "strings")
-    again = join_hot(strings, _shared(strings, ["h", "name"]), ["h", "name"], "n", total).filter("k > f")
-    again = again.groupBy("k", "pos").agg(F.bit_or(F.expr("shiftleft(1L, shift)")).alias("mask"))
+    strings = with_texts(members).mapInArrow(_name_strings, "name long, k long, at long")
+    again = strings.withColumn("f", F.min("k").over(Window.partitionBy("name"))).filter("k > f")
+    again = again.groupBy("k", F.floor(F.col("at") / (REACH + 1)).cast("int").alias("pos")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(at % {REACH + 1} AS int))")).alias("mask"))
     again = materialize(again, "again")
-    discard(strings, members)
-    hits = materialize(hits[0].unionByName(again).groupBy("k").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")), "hits")
+    discard(members)
+    hits = materialize(reduce(DataFrame.unionByName, hits, again).groupBy("k").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")), "hits")
     discard(around, again)
 
     listed = F.coalesce("hits", F.array().cast("array<struct<pos:int,mask:long>>"))
