@@ -75,15 +75,23 @@ def body(text_col: str) -> Column:
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, total: int, parts: int = 1024) -> DataFrame:
     """Inner join of ``left`` with ``right``, where ``right`` has one row a key and ``count_col`` says how many rows of
-    ``left`` have that key.
+    ``left`` have that key; the first key is a whole number.
 
     Keys with over ``total / parts`` rows are broadcast: there are fewer than ``parts`` of them, whatever the size of
     the input. All others go through a shuffled join, in which no key has more rows than that.
     """
     limit = max(1000, total // parts)
-    hot = F.broadcast(right.filter(F.col(count_col) > limit))
-    cold = right.filter(F.col(count_col) <= limit)
-    return left.join(hot, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    payload = F.struct(*[c for c in right.columns if c not in keys])
+    hot = right.filter(F.col(count_col) > limit).select(*keys, payload.alias("__hot"))
+    cold = right.filter(F.col(count_col) <= limit).select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], payload.alias("__cold"))
+    found = left.join(F.broadcast(hot), keys, "left")
+    # rows of hot keys are done: they pass the shuffle spread out and match nothing there
+    found = found.withColumn("__spread", F.when(F.col("__hot").isNotNull(), F.xxhash64(*left.columns)).otherwise(F.col(keys[0])))
+    match = F.col("__hot").isNull()
+    for i, k in enumerate(keys):
+        match &= F.col("__spread" if i == 0 else k) == F.col(f"__key{i}")
+    found = found.join(cold, match, "left").withColumn("__found", F.coalesce("__hot", "__cold")).filter("__found IS NOT NULL")
+    return found.select(*left.columns, "__found.*")
 
 
 def write_by_part(entries: DataFrame, columns: list[str], n: int) -> str:
