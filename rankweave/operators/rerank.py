@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankweave import vocabulary as V
 from rankweave.config import RetrievalConfig
 from rankweave.functions import text as X
-from rankweave.functions.text import let, strings
+from rankweave.functions.text import strings
 from rankweave.operators.filters import group_key
 
 MOST = 0.01
@@ -29,8 +29,7 @@ def _bounded(text: Column, words: Column) -> Column:
 
 
 def phrase_feature() -> Column:
-    text = X.phrase_text(F.col("__text"))
-    return F.when(let(text, lambda t: F.exists("technical_phrases", lambda p: _bounded(t, X.phrase_text(p)))), 1.0).otherwise(0.0)
+    return F.when(F.exists("technical_phrases", lambda p: _bounded(F.col("__phrases"), X.phrase_text(p))), 1.0).otherwise(0.0)
 
 
 def identifier_feature() -> Column:
@@ -39,21 +38,19 @@ def identifier_feature() -> Column:
     telling = F.filter("identifiers", lambda x: (F.length(x) >= 3) & ~F.array_contains(generic, F.lower(x))
                        & F.exists(X.split_identifier(x), lambda p: (F.length(p) >= 3) & ~F.array_contains(generic, p)))
 
-    def worth(x: Column, t: Column) -> Column:
+    def worth(x: Column) -> Column:
         parts = F.array_except(X.split_identifier(x), generic)
-        whole = F.array_contains(t["tokens"], F.lower(x)) | _bounded(t["text"], X.phrase_text(x))
-        return F.when(whole, 1.0).when((F.size(parts) > 0) & (F.size(F.array_except(parts, t["tokens"])) == 0), 0.5).otherwise(0.0)
+        whole = F.array_contains("__words", F.lower(x)) | _bounded(F.col("__phrases"), X.phrase_text(x))
+        return F.when(whole, 1.0).when((F.size(parts) > 0) & (F.size(F.array_except(parts, F.col("__words"))) == 0), 0.5).otherwise(0.0)
 
-    seen = let(X.phrase_text(F.col("__text")), lambda t: F.struct(t.alias("text"), F.array_distinct(X.tokenize(t)).alias("tokens")))
-    total = let(seen, lambda t: F.aggregate(F.transform(telling, lambda x: worth(x, t)), F.lit(0.0), lambda a, b: a + b))
+    total = F.aggregate(F.transform(telling, worth), F.lit(0.0), lambda a, b: a + b)
     return F.least(F.lit(1.0), total / F.greatest(F.lit(1), F.size(telling)))
 
 
 def intent_feature() -> Column:
-    tokens = F.array_distinct(X.tokenize(F.col("__text")))
     support = F.lit(False)
     for name, words in V.INTENT_SUPPORT.items():
-        support |= (F.col("primary_intent") == name) & F.arrays_overlap(tokens, strings(*words))
+        support |= (F.col("primary_intent") == name) & F.arrays_overlap(F.col("__tokens"), strings(*words))
     return F.when((F.col("confidence") >= SURE) & support, 1.0).otherwise(0.0)
 
 
@@ -71,10 +68,14 @@ def rerank(candidates: DataFrame, config: RetrievalConfig = RetrievalConfig()) -
     confidence, version_intent, requested_version) with the features, rerank_adjustment, final_score and final_rank."""
     made = {"phrase": ("exact_phrase_match", phrase_feature()), "identifier": ("distinctive_identifier_match", identifier_feature()),
             "intent": ("intent_compatibility", intent_feature()), "version": ("version_compatibility", version_feature())}
-    out = candidates.withColumns({"__text": candidate_text(), "__version": X.version_key(F.col("version"))})
+    # texts and tokens once for each snippet, however many queries found it
+    texts = candidates.select("id", candidate_text().alias("__text")).dropDuplicates(["id"])
+    texts = texts.select("id", X.phrase_text(F.col("__text")).alias("__phrases"), F.array_distinct(X.tokenize(F.col("__text"))).alias("__tokens"))
+    texts = texts.withColumn("__words", F.array_distinct(X.tokenize(F.col("__phrases"))))
+    out = candidates.join(texts, "id").withColumn("__version", X.version_key(F.col("version")))
     out = out.withColumns({column: value if name in config.rerank_features else F.lit(0.0) for name, (column, value) in made.items()})
     sum_ = sum((SHARES[name] * F.col(column) for name, (column, _) in made.items()), F.lit(0.0))
     out = out.withColumn("rerank_adjustment", F.greatest(F.lit(-MOST), F.least(F.lit(MOST), MOST * sum_)))
     out = out.withColumn("final_score", F.col("fusion_score") + config.alpha * F.col("rerank_adjustment"))
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("fusion_score"), "id")
-    return out.withColumn("final_rank", F.row_number().over(order)).drop("__text", "__version")
+    return out.withColumn("final_rank", F.row_number().over(order)).drop("__phrases", "__tokens", "__words", "__version")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.config import RetrievalConfig
-from rankweave.functions.text import tokenize
+from rankweave.functions.text import let, tokenize
 from rankweave.operators.lexical import SCALE, top
 
 #: A product with all vectors goes block by block over the queries.
@@ -61,7 +61,7 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """At length 1; a zero vector stays as it is."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(1e-12)))
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, n: int = RetrievalConfig().semantic_candidates) -> DataFrame:

@@ -236,11 +236,11 @@ IDENT = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[._:/-][A-Za-z0-9_$]+)*"
 
 
 def _parts(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[_./:$-]+'), p -> p <> '')"
+    return rf"list_filter(regexp_split_to_array(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[_./:$-]+'), lambda p: p <> '')"
 
 
 def _tokens(x: str) -> str:
-    return f"flatten(list_transform(regexp_extract_all({x}, '{IDENT}'), i -> list_concat([lower(i)], {_parts('i')})))"
+    return f"flatten(list_transform(regexp_extract_all({x}, '{IDENT}'), lambda i: list_concat([lower(i)], {_parts('i')})))"
 
 
 def _scores(query: str = "text", n: int = 100) -> str:
@@ -256,7 +256,7 @@ scored AS (SELECT query_id, id, coalesce(score, 0.0) AS score FROM (SELECT item_
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {n})"""
 
 
-_DOT = "list_sum(list_transform(list_zip(q.embedding, e.embedding), z -> z[1]::DOUBLE * z[2]::DOUBLE))"
+_DOT = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 SEM = f"""
 sem AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT item_id::VARCHAR AS query_id, e.vec_id::VARCHAR AS id, round({_DOT}, 9) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e)) WHERE rank <= 100)"""
@@ -302,7 +302,7 @@ ORACLES = {
     "bm25_topk": f"WITH {_scores()} SELECT query_id, id, score, rank::INT AS rank FROM lex",
     "bm25_zero_fill": f"WITH {_scores(_LAST_WORD, 700)} SELECT query_id, id, score, rank::INT AS rank FROM lex",
     "dense_topk": f"WITH {SEM} SELECT query_id, id, score, rank::INT AS rank FROM sem",
-    "vector_norms": "SELECT vec_id::VARCHAR AS id, round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
+    "vector_norms": "SELECT vec_id::VARCHAR AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
     "minmax_normalize": f"WITH {_scores()} SELECT query_id, id, round(s, 6) AS normalized FROM {_minmax('lex')}",
     "rrf_fusion": f"""WITH {_pool()} SELECT query_id, id, round(lexical_score, 6) AS lexical_score, round(semantic_score, 6) AS semantic_score, lexical_rank::INT AS lexical_rank,
       semantic_rank::INT AS semantic_rank, fusion_score, pool_rank::INT AS pool_rank FROM pool""",
@@ -310,11 +310,11 @@ ORACLES = {
     "metadata_filter": f"WITH {_pool()} SELECT query_id, id, pool_rank::INT AS pool_rank FROM pool JOIN snip USING (id) WHERE language IN ('en', 'fr') AND version = 'v2'",
     "latest_version": f"WITH {_pool()} SELECT query_id, id, version, pool_rank::INT AS pool_rank FROM pool JOIN snip USING (id) QUALIFY {_LATEST} = 1",
     "version_order": """WITH l AS (SELECT doc_id, 'v' || (doc_id // 100) || '.' || (doc_id % 100) AS label FROM documents)
-      SELECT doc_id, label, (row_number() OVER (PARTITION BY doc_id % 50 ORDER BY list_transform(string_split(substr(label, 2), '.'), x -> x::BIGINT) DESC, doc_id))::INT AS place FROM l""",
+      SELECT doc_id, label, (row_number() OVER (PARTITION BY doc_id % 50 ORDER BY list_transform(string_split(substr(label, 2), '.'), lambda x: x::BIGINT) DESC, doc_id))::INT AS place FROM l""",
     "hybrid_search": f"""WITH {_pool()} SELECT query_id, (row_number() OVER w)::INT AS rank, id, round(fusion_score, 6) AS score, language, version, repository
-      FROM pool JOIN snip USING (id) QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY pool_rank)""",
+      FROM pool JOIN snip USING (id) WINDOW w AS (PARTITION BY query_id ORDER BY pool_rank) QUALIFY row_number() OVER w <= 10""",
     "hybrid_filtered": f"""WITH {_pool()}, k AS (SELECT * FROM pool JOIN snip USING (id) WHERE language = 'en' QUALIFY {_LATEST} = 1)
-      SELECT query_id, (row_number() OVER w)::INT AS rank, id, version FROM k QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY pool_rank)""",
+      SELECT query_id, (row_number() OVER w)::INT AS rank, id, version FROM k WINDOW w AS (PARTITION BY query_id ORDER BY pool_rank) QUALIFY row_number() OVER w <= 10""",
     "query_metrics": f"WITH {_scores()}, {QRELS} SELECT query_id, round(rr, 9) AS rr, round(ndcg, 9) AS ndcg, round(recall_5, 9) AS recall_5, round(recall_k, 9) AS recall_k FROM {_metrics('lex')}",
     "eval_summary": f"WITH {_scores()}, {QRELS} SELECT {_MEANS} FROM {_metrics('lex')}",
     "ablation": f"""WITH {_pool()}, {QRELS}, fus AS (SELECT query_id, id, pool_rank AS rank FROM pool)
