@@ -25,7 +25,6 @@ def snippet_text(snippets: DataFrame) -> Column:
     return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-@F.pandas_udf("struct<high:long,sign:int>")
 def _digest(features: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The first four bytes of a feature's hash as a number, and the sign that the fifth gives."""
     for batch in features:
@@ -41,7 +40,7 @@ def hash_encode(texts: DataFrame, id_col: str = "id", text_col: str = "text", di
     tokens = texts.select(F.col(id_col).alias("id"), F.explode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))
     features = tokens.select("id", F.explode(F.array("t", F.substring("t", 1, 4), F.expr("right(t, 4)"))).alias("feature"))
     counts = features.groupBy("id", "feature").agg(F.count("*").alias("n"))
-    hashed = counts.select("feature").distinct().withColumn("h", _digest("feature"))
+    hashed = counts.select("feature").distinct().withColumn("h", F.pandas_udf(_digest, "struct<high:long,sign:int>")("feature"))
     hashed = hashed.select("feature", F.pmod("h.high", F.lit(dimensions)).cast("int").alias("idx"), "h.sign")
     cells = counts.join(hashed, "feature").groupBy("id", "idx").agg(F.sum(F.col("sign") * F.col("n")).cast("double").alias("v"))
     rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))).alias("cells"))
