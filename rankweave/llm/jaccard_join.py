@@ -82,8 +82,11 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     equal in both. d follows from the sizes; sets whose sizes permit a link are in the same class of sizes or in
     neighbouring ones, so each set deals itself out for its own class, in which it may be the smaller of a pair, and for the
     class before it, in which it may be the larger.
+
+    The equal part may be empty, and empty parts have no signature. A set with more than d parts that are not empty has one
+    among them that is equal in both. Of two sets without so many, both emit the least shingles of which linked sets share one.
     """
-    n, step, out = len(shingles), 100 / percent, []
+    n, step, out, sparse = len(shingles), 100 / percent, [], False
     own = int(math.log(n) / math.log(step)) if n else 0
     while step ** own > n:
         own -= 1
@@ -98,9 +101,14 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
             parts = small + large - 2 * need(small, large, percent) + 3
             part = ((shingles >> np.uint64(11)) * np.uint64(parts) >> np.uint64(53)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))  # the shingles are sorted, so the parts are
+            partner = n * 100 // percent if c == own else n  # the largest that it can differ from as one of this class
+            sparse |= len(first) <= (n + partner) * (100 - percent) // (100 + percent)
             sums = np.add.reduceat(mixed, first)
             sig = (sums ^ part[first].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) ^ np.uint64((c + 1) << 40)) * _MIX
             out.append(sig ^ (sig >> np.uint64(32)))
+        if sparse:  # the least common shingle is at most n - overlap places from the start of both
+            least = mixed[: n - -(-percent * n // 100) + 1] * _MIX
+            out.append(least ^ (least >> np.uint64(32)))
     return np.concatenate(out).view(np.int64)
 
 

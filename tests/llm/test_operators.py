@@ -305,6 +305,31 @@ def test_jaccard_components(spark, group):
     assert {r["key"]: (r["n_shingles"], r["component"]) for r in out} == {i: (len(sets[i]), c) for i, c in brute(sets).items()}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_short_sets_share_a_signature(percent):
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        pool = r.integers(0, 1 << 64, 18, np.uint64, endpoint=False)
+        for n in range(1, 15):
+            for m in range(n, 16):
+                for common in range(jaccard_join.need(n, m, percent), n + 1):
+                    if n + m - common > len(pool) or n == m == common:
+                        continue
+                    x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:n + m - common]]))
+                    assert np.intersect1d(jaccard_join.signatures(x, percent), jaccard_join.signatures(y, percent)).size, (x, y)
+
+
+def test_jaccard_links_short_texts_whose_equal_part_is_empty(spark):
+    r, shingler, rows = random.Random(6), jaccard_join.Shingler(), []
+    while len(rows) < 8:  # six shingles in one part of three, the seventh in it too
+        text = " ".join(f"v{r.randrange(10 ** 6)}" for _ in range(10))
+        part = (shingler(text) >> np.uint64(11)) * np.uint64(3) >> np.uint64(53)
+        if (part == part[0]).all():
+            rows += [(len(rows), text), (len(rows) + 1, text.rpartition(" ")[0])]
+    out = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["key"]: r["component"] for r in out} == {i: i - i % 2 for i in range(8)}
+
+
 def test_jaccard_odd_rows(docs):
     out = jaccard_join.jaccard_classes(docs)
     assert out.count() == docs.count() and jaccard_join.jaccard_classes(none(docs)).count() == 0
