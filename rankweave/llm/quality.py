@@ -2,8 +2,8 @@
 
 Features are the lower-cased words without the punctuation at their ends, those ends, and pairs of neighbouring words, hashed
 into ``BUCKETS``. Two
-multinomials over the buckets, of the trusted documents and of all documents, give every bucket a log ratio; buckets whose two
-counts differ by no more than chance get none. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length plays
+counts for each bucket, of the trusted documents and of all documents that hold it, give it a log ratio, shrunk the more the less
+evidence there is; a document counts once, as its repetitions are no evidence of their own. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length plays
 little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths, so that
 the verdict does not depend on the order of any sum.
 """
@@ -23,7 +23,7 @@ MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
 BUCKETS = 1 << 18
 #: Trusted documents are at most so many (those with the least hash of the id); counts of the corpus are over all of it.
 TRUSTED_DOCS = 50_000
-SMOOTHING, SIGNIFICANCE = 5.0, 4.0
+SMOOTHING, EVIDENCE, POWER = 0.5, 7.0, 3  # a log ratio counts by (G / (G + EVIDENCE)) ** POWER; G: twice the log likelihood it explains
 PRIOR_WORDS = 100  # words without a say that every document has besides its own, so that no single one rejects a short text
 THRESHOLD = -0.015
 UNIT = 1_000_000
@@ -86,6 +86,28 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return found.withColumn("bucket", F.col("bucket").bitwiseAND(BUCKETS - 1).cast("int"))
 
 
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """As ``_buckets``, but each bucket once a row of ``rows``."""
+    def bucket(kind: int, *of: Column) -> Column:
+        return F.xxhash64(F.lit(kind), *of).bitwiseAND(BUCKETS - 1).cast("int")
+
+    def stem(word: Column) -> Column:
+        return F.rtrim(word, F.lit(PUNCTUATION))
+
+    def end(word: Column) -> Column:
+        return F.substring(word, F.length(stem(word)) + 1, F.length(word))
+
+    def features(words: Column) -> Column:
+        stems = F.transform(words, lambda a: F.when(stem(a) != "", bucket(1, stem(a))))
+        ends = F.transform(words, lambda a: F.when(end(a) != "", bucket(2, end(a))))
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), bucket(3, a, b)))
+        return F.array_distinct(F.concat(stems, ends, pairs))
+
+    others = [c for c in rows.columns if c != "__text"]
+    found = rows.select(*others, F.explode(_let(word_list(F.lower("__text")), features)).alias("bucket"))
+    return found.filter(F.col("bucket").isNotNull())
+
+
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
     """At most ``bound`` ids whose every label says good and not toxic."""
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -93,17 +115,19 @@ def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``bucket``, ``weight`` (millionths) of the buckets that tell trusted documents from the corpus; at most BUCKETS rows."""
+    """``bucket``, ``weight`` (millionths) of the buckets by how they tell trusted documents from the corpus; at most BUCKETS rows."""
     trusted = F.broadcast(trusted_ids(labels).withColumn("__good", F.lit(1)))
     rows = docs.select(id_key(id_col).alias("__k"), body(text_col).alias("__text")).join(trusted, "__k", "left").select("__good", "__text")
-    counts = _buckets(rows).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good"))
+    counts = _distinct_buckets(rows).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good"))
     counts = materialize(counts, "buckets")
     raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
     rate = (good or 0) / raw if raw else 0.0
     expected = F.col("raw") * F.lit(rate)
-    told = F.abs(F.col("good") - expected) >= SIGNIFICANCE * F.sqrt(F.greatest(expected, F.lit(1.0)))
-    weight = F.round(UNIT * F.log((F.col("good") + SMOOTHING) / (expected + SMOOTHING))).cast("long")
-    return counts.filter(told).select("bucket", weight.alias("weight")) if good else counts.limit(0).select("bucket", F.col("raw").alias("weight"))
+    good_n = F.col("good").cast("double")
+    told = F.greatest(2 * (F.when(good_n > 0, good_n * F.log(good_n / expected)).otherwise(0.0) - good_n + expected), F.lit(0.0))
+    ratio = F.log((good_n + SMOOTHING) / (expected + SMOOTHING)) * F.pow(told / (told + EVIDENCE), F.lit(POWER))
+    weight = F.round(UNIT * ratio).cast("long")
+    return counts.select("bucket", weight.alias("weight")) if good else counts.limit(0).select("bucket", F.col("raw").alias("weight"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -92,6 +92,32 @@ def test_quality_tells_planted_words(spark):
     assert not any(r["kept"] for r in bad) and sum(r["kept"] for r in out) >= 0.98 * (len(out) - len(bad))
 
 
+def test_quality_gives_rare_words_a_weight_in_small_tables(spark):
+    r = random.Random(8)
+    common, insults = [f"w{i}" for i in range(300)], [f"vile{i}" for i in range(10)]
+    rows, labels = [], []
+    for i in range(300):  # each insult is in about 15 documents, of which five would be trusted by chance
+        words = [r.choice(common) for _ in range(80)]
+        if bad := i % 10 == 0:
+            for p in range(0, 80, 8):
+                words[p] = r.choice(insults)
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    words = spark.createDataFrame([(w,) for w in insults], "w string").select(F.xxhash64(F.lit(1), "w").bitwiseAND(quality.BUCKETS - 1).cast("int").alias("bucket"))
+    weights = words.join(quality.bucket_weights(docs, labels, "doc_id", "text"), "bucket").collect()
+    assert len(weights) == 10 and all(r["weight"] < 0 for r in weights)
+    out = quality.quality(docs, labels).collect()
+    bad = [r for r in out if r["doc_id"] % 10 == 0]
+    assert not any(r["kept"] for r in bad) and sum(r["kept"] for r in out) >= 0.98 * (len(out) - len(bad))
+
+
+def test_distinct_buckets_are_those_of_the_features(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["One two, one TWO,\n(two) ... one", "", "x", " a  b a b a b!"])], "i long, __text string")
+    assert sorted(map(tuple, quality._distinct_buckets(rows).collect())) == sorted(map(tuple, quality._buckets(rows).distinct().collect()))
+
+
 # 2
 
 def test_substring_dedup(docs):
