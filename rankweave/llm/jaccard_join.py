@@ -75,6 +75,17 @@ def need(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def _parts(c: int, percent: int) -> int:
+    """Into how many parts the sets of class ``c`` (the sizes from (100 / percent) ** c on) are dealt: more than the shingles in
+    which one of them and a larger set that it links with can differ, and so many more that hardly any set leaves that many empty."""
+    step = 100 / percent
+    small = math.ceil(step ** (c + 1))
+    large = small * 100 // percent + 1
+    least = small + large - 2 * need(small, large, percent) + 3
+    empty = least * math.exp(-max(1.0, step ** c) / least)
+    return least + math.ceil(empty + 4 * math.sqrt(empty))
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of which two different linked sets have at least one in common.
 
@@ -84,7 +95,8 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     class before it, in which it may be the larger.
 
     The equal part may be empty, and empty parts have no signature. A set with more than d parts that are not empty has one
-    among them that is equal in both. Of two sets without so many, both emit the least shingles of which linked sets share one.
+    among them that is equal in both. Of two sets without so many (``_parts`` makes them rare), both emit the least shingles
+    of which linked sets share one.
     """
     n, step, out, sparse = len(shingles), 100 / percent, [], False
     own = int(math.log(n) / math.log(step)) if n else 0
@@ -96,12 +108,11 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         mixed = shingles * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         for c in (own - 1, own):
-            small = math.ceil(step ** (c + 1))
-            large = small * 100 // percent + 1
-            parts = small + large - 2 * need(small, large, percent) + 3
-            part = ((shingles >> np.uint64(11)) * np.uint64(parts) >> np.uint64(53)).astype(np.int64)
+            parts = _parts(c, percent)
+            part = ((shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))  # the shingles are sorted, so the parts are
-            partner = n * 100 // percent if c == own else n  # the largest that it can differ from as one of this class
+            # the largest that a set of this class can link with: as the smaller of the two, or as the larger, with one of the class before
+            partner = n * 100 // percent if c == own else math.ceil(step ** own) - 1
             sparse |= len(first) <= (n + partner) * (100 - percent) // (100 + percent)
             sums = np.add.reduceat(mixed, first)
             sig = (sums ^ part[first].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) ^ np.uint64((c + 1) << 40)) * _MIX
