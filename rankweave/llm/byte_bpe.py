@@ -30,7 +30,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FOLD_BYTES = 256
 BUCKETS = 65536
 GATHER = 300_000  # distinct words that a task holds before it hands their pieces on
-KEEP = 400_000  # distinct words whose ids a task keeps
+KEEP = 200_000  # distinct words whose ids a task keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -113,19 +113,23 @@ def _pack(ids: list[int]) -> bytes:
 
 _WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _chunks = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
+_runs = re.compile(rf"[{_WHITE}](?=[{_WHITE}])|[{_WHITE}]\Z").search
 
-_SPACED = ["\0", *(x + " " for x in _WHITE)]
+_LATIN = chr(0x250)  # which characters below it are letters no version of Unicode has changed
 
 
 def chunks(text: str) -> list[str]:
-    """Cuts a text where no match of the split pattern crosses: before a single space, or around runs of white space.
+    """Cuts a text where no match of the split pattern crosses: before a single space, around a single line break, or around
+    runs of white space.
 
-    A space before a chunk is left out: each chunk but the first stands for itself with a space before it. Where a space
-    follows other white space the cuts are made around it, and each chunk is preceded by NUL, which stands for no space.
+    A space before a chunk is left out: each chunk but the first stands for itself with a space before it. A chunk without
+    one is preceded by NUL.
     """
-    if not text.endswith(" ") and not any(x in text for x in _SPACED):
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest] if first else rest
+    if not text:
+        return []
+    if "\0" not in text and not _runs(text):  # a space or line break stands between two others, or begins the text
+        chunk = ("\0" + text).replace("\n", " \0\n \0").split(" ")
+        return chunk if chunk[0] != "\0" else chunk[1:]
     return ["\0" + x for x in _chunks(text)]
 
 
@@ -133,6 +137,27 @@ def whole(chunk: str) -> str:
     return chunk[1:] if chunk.startswith("\0") else " " + chunk
 
 
+def cutter(pattern: str):
+    """A function from chunks to their pieces, the matches of ``pattern``. For the pattern of the byte-level vocabularies a run
+    of plain letters, maybe with a full stop or comma behind it, needs no matching."""
+    import public_tokenizers
+
+    find = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return lambda chunk: find(whole(chunk))
+
+    def pieces(chunk: str) -> list[str]:
+        word = whole(chunk)
+        letters, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+        if letters[:1] == "\0":
+            letters = letters[1:]
+        if letters.isalpha() and (letters.isascii() or max(letters) < _LATIN):
+            return [word[:-1], mark] if mark else [word]
+        return find(word)
+
+    return pieces
+
+
 def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str) -> str:
     """Writes ``part=N/`` for each partition of ``docs``: its distinct pieces and their ids. Returns the folder."""
     spark = docs.sparkSession
@@ -140,11 +165,11 @@ def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, t
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, find = TaskContext.get().partitionId(), regex.compile(pattern).findall
+        part, cut = TaskContext.get().partitionId(), cutter(pattern)
         held: set[str] = set()
 
         def rows():
-            names = list({y for x in held for y in find(whole(x)) if not _long(y)})
+            names = list({y for x in held for y in cut(x) if not _long(y)})
             return pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string())], names=["part", "piece"])
 
         for batch in batches:
@@ -192,15 +217,14 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, find = _dictionary(folder, TaskContext.get().partitionId()), regex.compile(pattern).findall
+        known, cut = _dictionary(folder, TaskContext.get().partitionId()), cutter(pattern)
         tokens = [b""] * (max(shared.value.values()) + 1)
         for token, rank in shared.value.items():
             tokens[rank] = token
 
-
         class ByChunk(dict):
             def __missing__(self, x: str) -> bytes:
-                ids = b"".join([known.get(y) or _pack(merge_long(y.encode("utf-8", "surrogatepass"), shared.value)) for y in find(whole(x))])
+                ids = b"".join([known.get(y) or _pack(merge_long(y.encode("utf-8", "surrogatepass"), shared.value)) for y in cut(x)])
                 if len(self) < KEEP:
                     self[x] = ids
                 return ids
