@@ -36,14 +36,14 @@ def _let(value: Column, use) -> Column:
 def repeated_words(words: Column, window: int = REPEAT_WORDS) -> Column:
     """How many words lie in a run of ``window`` (a power of two) words that occurs at least twice in ``words``.
 
-    The runs are hashed by doubling. Only where two hashes are equal are they sorted with their positions.
+    The runs are hashed by doubling, and only as far as runs of half a window repeat. Only where two hashes are equal are
+    they sorted with their positions.
     """
     def doubled(hashes: Column, size: int) -> Column:
         return _let(hashes, lambda h: F.zip_with(h, F.slice(h, size + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
 
-    hashes, size = words, 1
-    while size < window:
-        hashes, size = doubled(hashes, size), 2 * size
+    def distinct(h: Column) -> Column:
+        return F.size(F.array_distinct(h)) == F.size(h)
 
     def covered(h: Column) -> Column:
         in_order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -52,8 +52,18 @@ def repeated_words(words: Column, window: int = REPEAT_WORDS) -> Column:
         return _let(F.array_sort(found), lambda p: F.aggregate(
             F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window)))), F.lit(0), lambda a, b: a + b))
 
-    runs = F.slice(hashes, 1, F.greatest(F.size(words) - window + 1, F.lit(0)))
-    return _let(runs, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))).cast("long")
+    def runs(h: Column, size: int) -> Column:
+        return F.slice(h, 1, F.greatest(F.size(words) - size + 1, F.lit(0)))
+
+    def at(h: Column, size: int) -> Column:
+        """The words covered, from the hashes of the runs of ``size`` words."""
+        if size == window:
+            return F.when(distinct(h), F.lit(0)).otherwise(covered(h))
+        longer = _let(runs(doubled(h, size), 2 * size), lambda x: at(x, 2 * size))
+        # from runs of half the window on: where no run repeats, no longer one does
+        return F.when(distinct(h), F.lit(0)).otherwise(longer) if 2 * size == window else longer
+
+    return at(words, 1).cast("long")
 
 
 def base_rules(text: Column) -> dict[str, Column]:
@@ -74,38 +84,41 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+def _bucket(feature: Column) -> Column:
+    return F.xxhash64(feature).bitwiseAND(BUCKETS - 1).cast("int")
+
+
+def _stem_end(word: Column) -> tuple[Column, Column]:
+    """A word without the punctuation at its end, and that."""
+    stem = F.rtrim(word, F.lit(PUNCTUATION))
+    return stem, F.substring(word, F.length(stem) + 1, F.length(word))
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
     """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
     others = [c for c in rows.columns if c != "__text"]
     words = rows.select(*others, word_list(F.lower("__text")).alias("w"))
     words = words.select(*others, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("f"))
-    stem = F.rtrim(F.col("f.a"), F.lit(PUNCTUATION))
-    words = words.select(*others, "f.a", "f.b", stem.alias("stem"), F.substring(F.col("f.a"), F.length(stem) + 1, F.length(F.col("f.a"))).alias("end"))
-    three = F.array(F.when(F.col("stem") != "", F.xxhash64(F.lit(1), "stem")), F.when(F.col("end") != "", F.xxhash64(F.lit(2), "end")), F.when(F.col("b").isNotNull(), F.xxhash64(F.lit(3), "a", "b")))
-    found = words.select(*others, F.explode(three).alias("bucket")).filter(F.col("bucket").isNotNull())
-    return found.withColumn("bucket", F.col("bucket").bitwiseAND(BUCKETS - 1).cast("int"))
+    stem, end = _stem_end(F.col("f.a"))
+    parts = [stem, end, F.when(F.col("f.b").isNotNull(), F.concat_ws(" ", "f.a", "f.b")).otherwise("")]
+    features = words.select(*others, F.explode(F.array(*parts)).alias("feature")).filter("feature <> ''")
+    return features.select(*others, _bucket(F.col("feature")).alias("bucket"))
 
 
 def _distinct_buckets(rows: DataFrame) -> DataFrame:
-    """As ``_buckets``, but each bucket once a row of ``rows``."""
-    def bucket(kind: int, *of: Column) -> Column:
-        return F.xxhash64(F.lit(kind), *of).bitwiseAND(BUCKETS - 1).cast("int")
-
-    def stem(word: Column) -> Column:
-        return F.rtrim(word, F.lit(PUNCTUATION))
-
-    def end(word: Column) -> Column:
-        return F.substring(word, F.length(stem(word)) + 1, F.length(word))
+    """As ``_buckets``, but each distinct word and each distinct pair of words once a row of ``rows``."""
+    others = [c for c in rows.columns if c != "__text"]
 
     def features(words: Column) -> Column:
-        stems = F.transform(words, lambda a: F.when(stem(a) != "", bucket(1, stem(a))))
-        ends = F.transform(words, lambda a: F.when(end(a) != "", bucket(2, end(a))))
-        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.when(b.isNotNull(), bucket(3, a, b)))
-        return F.array_distinct(F.concat(stems, ends, pairs))
-
-    others = [c for c in rows.columns if c != "__text"]
-    found = rows.select(*others, F.explode(_let(word_list(F.lower("__text")), features)).alias("bucket"))
-    return found.filter(F.col("bucket").isNotNull())
+        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(F.array_distinct(words), F.array_distinct(pairs))
+
+    found = rows.select(*others, F.explode(_let(word_list(F.lower("__text")), features)).alias("x"))
+    stem, end = _stem_end(F.col("x"))
+    pair = F.instr("x", " ") > 0
+    parts = F.array(F.when(pair, F.col("x")).otherwise(stem), F.when(pair, F.lit("")).otherwise(end))
+    features_ = found.select(*others, F.explode(parts).alias("feature")).filter("feature <> ''")
+    return features_.select(*others, _bucket(F.col("feature")).alias("bucket"))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
