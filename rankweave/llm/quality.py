@@ -1,11 +1,11 @@
 """Quality rules: a log-likelihood ratio of hashed n-grams between trusted documents and the whole corpus.
 
-Features are the lower-cased words without the punctuation at their ends, those ends, and pairs of neighbouring words, hashed
-into ``BUCKETS``. Two
-counts for each bucket, of the trusted documents and of all documents that hold it, give it a log ratio, shrunk the more the less
-evidence there is; a document counts once, as its repetitions are no evidence of their own. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length plays
-little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths, so that
-the verdict does not depend on the order of any sum.
+Tokens are the lower-cased words without the punctuation at their ends, and those ends; features are tokens and pairs of
+neighbouring ones, hashed into ``BUCKETS``. Two counts for each bucket, over the trusted documents and over all, give it a log
+ratio, shrunk the more the less evidence there is; a document counts a feature once, as its repetitions are no evidence of their
+own. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length
+plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
+so that the verdict does not depend on the order of any sum.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from rankweave.llm.common import body, id_key, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
-PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+#: Punctuation at the end of a word, in one match.
+ENDS = r"(?<![!-/:-@\[-`{-~])([!-/:-@\[-`{-~]++)(?=[\x20\x09-\x0D]|\z)"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
 BUCKETS = 1 << 18
@@ -84,41 +85,23 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _bucket(feature: Column) -> Column:
-    return F.xxhash64(feature).bitwiseAND(BUCKETS - 1).cast("int")
+def _features(text: Column, distinct: bool) -> Column:
+    """Hashes of the tokens of a text and of the pairs of neighbouring ones, each distinct one once or all."""
+    apart = F.regexp_replace(F.lower(text), ENDS, " $1")
+    hashes = F.transform(word_list(apart), lambda x: F.xxhash64(x))
 
+    def both(h: Column) -> Column:
+        pairs = F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return F.array_distinct(F.concat(h, pairs)) if distinct else F.concat(h, pairs)
 
-def _stem_end(word: Column) -> tuple[Column, Column]:
-    """A word without the punctuation at its end, and that."""
-    stem = F.rtrim(word, F.lit(PUNCTUATION))
-    return stem, F.substring(word, F.length(stem) + 1, F.length(word))
+    return _let(hashes, both)
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame, distinct: bool = False) -> DataFrame:
     """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
     others = [c for c in rows.columns if c != "__text"]
-    words = rows.select(*others, word_list(F.lower("__text")).alias("w"))
-    words = words.select(*others, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("f"))
-    stem, end = _stem_end(F.col("f.a"))
-    parts = [stem, end, F.when(F.col("f.b").isNotNull(), F.concat_ws(" ", "f.a", "f.b")).otherwise("")]
-    features = words.select(*others, F.explode(F.array(*parts)).alias("feature")).filter("feature <> ''")
-    return features.select(*others, _bucket(F.col("feature")).alias("bucket"))
-
-
-def _distinct_buckets(rows: DataFrame) -> DataFrame:
-    """As ``_buckets``, but each distinct word and each distinct pair of words once a row of ``rows``."""
-    others = [c for c in rows.columns if c != "__text"]
-
-    def features(words: Column) -> Column:
-        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.concat(F.array_distinct(words), F.array_distinct(pairs))
-
-    found = rows.select(*others, F.explode(_let(word_list(F.lower("__text")), features)).alias("x"))
-    stem, end = _stem_end(F.col("x"))
-    pair = F.instr("x", " ") > 0
-    parts = F.array(F.when(pair, F.col("x")).otherwise(stem), F.when(pair, F.lit("")).otherwise(end))
-    features_ = found.select(*others, F.explode(parts).alias("feature")).filter("feature <> ''")
-    return features_.select(*others, _bucket(F.col("feature")).alias("bucket"))
+    found = rows.select(*others, F.explode(_features(F.col("__text"), distinct)).alias("bucket"))
+    return found.withColumn("bucket", F.col("bucket").bitwiseAND(BUCKETS - 1).cast("int"))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
@@ -131,7 +114,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     """``bucket``, ``weight`` (millionths) of the buckets by how they tell trusted documents from the corpus; at most BUCKETS rows."""
     trusted = F.broadcast(trusted_ids(labels).withColumn("__good", F.lit(1)))
     rows = docs.select(id_key(id_col).alias("__k"), body(text_col).alias("__text")).join(trusted, "__k", "left").select("__good", "__text")
-    counts = _distinct_buckets(rows).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good"))
+    counts = _buckets(rows, distinct=True).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good"))
     counts = materialize(counts, "buckets")
     raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
     rate = (good or 0) / raw if raw else 0.0
