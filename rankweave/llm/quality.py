@@ -2,8 +2,8 @@
 
 Tokens are the lower-cased words without the punctuation at their ends, and those ends; features are tokens and pairs of
 neighbouring ones, hashed into ``BUCKETS``. Two counts for each bucket, over the trusted documents and over all, give it a log
-ratio, shrunk the more the less evidence there is; a document counts a feature once, as its repetitions are no evidence of their
-own. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length
+ratio, shrunk the more the less evidence there is; a document counts a token once, as its repetitions are no evidence of their
+own, and tokens and pairs are two multinomials. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length
 plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
 so that the verdict does not depend on the order of any sum.
 """
@@ -22,6 +22,7 @@ ENDS = r"(?<![!-/:-@\[-`{-~])([!-/:-@\[-`{-~]++)(?=[\x20\x09-\x0D]|\z)"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
 BUCKETS = 1 << 18
+HALF = BUCKETS // 2  # tokens are hashed into the lower half of the buckets, pairs into the upper one
 #: Trusted documents are at most so many (those with the least hash of the id); counts of the corpus are over all of it.
 TRUSTED_DOCS = 50_000
 SMOOTHING, EVIDENCE, POWER = 0.5, 7.0, 3  # a log ratio counts by (G / (G + EVIDENCE)) ** POWER; G: twice the log likelihood it explains
@@ -85,23 +86,40 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _features(text: Column, distinct: bool) -> Column:
-    """Hashes of the tokens of a text and of the pairs of neighbouring ones, each distinct one once or all."""
-    apart = F.regexp_replace(F.lower(text), ENDS, " $1")
-    hashes = F.transform(word_list(apart), lambda x: F.xxhash64(x))
+def _tokens(text: Column) -> Column:
+    return word_list(F.regexp_replace(F.lower(text), ENDS, " $1"))
 
-    def both(h: Column) -> Column:
-        pairs = F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b))
-        return F.array_distinct(F.concat(h, pairs)) if distinct else F.concat(h, pairs)
 
-    return _let(hashes, both)
+def _token_bucket(token: Column) -> Column:
+    return F.xxhash64(token).bitwiseAND(HALF - 1).cast("int")
 
 
-def _buckets(rows: DataFrame, distinct: bool = False) -> DataFrame:
-    """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
+def _pair_bucket(a: Column, b: Column) -> Column:
+    """The bucket of a pair, in the upper half; null without a second token."""
+    return F.when(b.isNotNull(), HALF + F.xxhash64(a, b).bitwiseAND(HALF - 1).cast("int"))
+
+
+def _neighbours(tokens: DataFrame) -> DataFrame:
+    """A row (``a``, ``b``) for each token in the lists ``t`` and the one behind it."""
+    others = [c for c in tokens.columns if c != "t"]
+    return tokens.select(*others, F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("f")).select(*others, "f.a", "f.b")
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """A row for each token and pair of ``rows`` (``__text`` and others), with its ``bucket``."""
     others = [c for c in rows.columns if c != "__text"]
-    found = rows.select(*others, F.explode(_features(F.col("__text"), distinct)).alias("bucket"))
-    return found.withColumn("bucket", F.col("bucket").bitwiseAND(BUCKETS - 1).cast("int"))
+    both = _neighbours(rows.select(*others, _tokens(F.col("__text")).alias("t")))
+    both = both.select(*others, F.explode(F.array(_token_bucket(F.col("a")), _pair_bucket(F.col("a"), F.col("b")))).alias("bucket"))
+    return both.filter("bucket IS NOT NULL")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """``bucket``, ``raw``, ``good``: in how many documents a token is, and how often a pair occurs; in all and in trusted ones."""
+    tokens = rows.select("__good", _tokens(F.col("__text")).alias("t"))
+    single = tokens.select("__good", F.explode(F.array_distinct("t")).alias("a")).select("__good", _token_bucket(F.col("a")).alias("bucket"))
+    pairs = _neighbours(tokens).filter("b IS NOT NULL").select("__good", _pair_bucket(F.col("a"), F.col("b")).alias("bucket"))
+    count = [F.count("*").alias("raw"), F.count("__good").alias("good")]
+    return single.groupBy("bucket").agg(*count).unionByName(pairs.groupBy("bucket").agg(*count))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
@@ -114,16 +132,15 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     """``bucket``, ``weight`` (millionths) of the buckets by how they tell trusted documents from the corpus; at most BUCKETS rows."""
     trusted = F.broadcast(trusted_ids(labels).withColumn("__good", F.lit(1)))
     rows = docs.select(id_key(id_col).alias("__k"), body(text_col).alias("__text")).join(trusted, "__k", "left").select("__good", "__text")
-    counts = _buckets(rows, distinct=True).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good"))
-    counts = materialize(counts, "buckets")
-    raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
-    rate = (good or 0) / raw if raw else 0.0
-    expected = F.col("raw") * F.lit(rate)
+    counts = materialize(_counts(rows), "buckets")
+    rates = {above: good / raw for above, raw, good in counts.groupBy(F.col("bucket") >= HALF).agg(F.sum("raw"), F.sum("good")).collect()}
+    rate = F.when(F.col("bucket") >= HALF, F.lit(rates.get(True, 0.0))).otherwise(F.lit(rates.get(False, 0.0)))
+    expected = F.col("raw") * rate
     good_n = F.col("good").cast("double")
     told = F.greatest(2 * (F.when(good_n > 0, good_n * F.log(good_n / expected)).otherwise(0.0) - good_n + expected), F.lit(0.0))
     ratio = F.log((good_n + SMOOTHING) / (expected + SMOOTHING)) * F.pow(told / (told + EVIDENCE), F.lit(POWER))
     weight = F.round(UNIT * ratio).cast("long")
-    return counts.select("bucket", weight.alias("weight")) if good else counts.limit(0).select("bucket", F.col("raw").alias("weight"))
+    return counts.filter(expected > 0).select("bucket", weight.alias("weight"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
