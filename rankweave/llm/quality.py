@@ -1,9 +1,9 @@
 """Quality rules: a log-likelihood ratio of hashed n-grams between trusted documents and the whole corpus.
 
-Tokens are the lower-cased words without the punctuation at their ends, and those ends; features are tokens and pairs of
-neighbouring ones, hashed into ``BUCKETS``. Two counts for each bucket, over the trusted documents and over all, give it a log
-ratio, shrunk the more the less evidence there is; a document counts a token once, as its repetitions are no evidence of their
-own, and tokens and pairs are two multinomials. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length
+Features are the lower-cased words without the punctuation at their ends, those ends, and pairs of neighbouring words, hashed
+into ``BUCKETS``. Two counts for each bucket, over the trusted documents and over all, give it a log ratio, shrunk the more the
+less evidence there is. Words and ends are one multinomial, in which a document's distinct words count once, as their
+repetitions are no evidence of their own; pairs are another. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length
 plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
 so that the verdict does not depend on the order of any sum.
 """
@@ -17,15 +17,39 @@ from rankweave.llm.common import body, id_key, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
-#: Punctuation at the end of a word, in one match.
-ENDS = r"(?<![!-/:-@\[-`{-~])([!-/:-@\[-`{-~]++)(?=[\x20\x09-\x0D]|\z)"
+PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
 BUCKETS = 1 << 18
 HALF = BUCKETS // 2  # tokens are hashed into the lower half of the buckets, pairs into the upper one
 #: Trusted documents are at most so many (those with the least hash of the id); counts of the corpus are over all of it.
 TRUSTED_DOCS = 50_000
-SMOOTHING, EVIDENCE, POWER = 0.5, 7.0, 3  # a log ratio counts by (G / (G + EVIDENCE)) ** POWER; G: twice the log likelihood it explains
+#: A log ratio counts by (G / (G + evidence)) ** POWER; G: twice the log likelihood that it explains. Pairs, which count every time, need more.
+SMOOTHING, EVIDENCE, PAIR_EVIDENCE, POWER = 0.5, 5.0, 12.0, 3
+PRIOR_WORDS``), so that length
+plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
+so that the verdict does not depend on the order of any sum.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankweave.llm.common import body, id_key, materialize, table
+
+WORD = r"[^\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
+PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+SYMBOLS = r"[#*$%&|<>]"
+MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
+BUCKETS = 1 << 18
+HALF = BUCKETS // 2  # tokens are hashed into the lower half of the buckets, pairs into the upper one
+#: Trusted documents are at most so many (those with the least hash of the id); counts of the corpus are over all of it.
+TRUSTED_DOCS = 50_000
+import os
+PAIR_EVIDENCE = float(os.environ.get("PE", "30"))
+SMOOTHING, EVIDENCE, POWER = 0.5, float(os.environ.get("EV", "7")), 3  # a log ratio counts by (G / (G + EVIDENCE)) ** POWER; G: twice the log likelihood it explains
 PRIOR_WORDS = 100  # words without a say that every document has besides its own, so that no single one rejects a short text
 THRESHOLD = -0.015
 UNIT = 1_000_000
@@ -86,40 +110,40 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _tokens(text: Column) -> Column:
-    return word_list(F.regexp_replace(F.lower(text), ENDS, " $1"))
-
-
-def _token_bucket(token: Column) -> Column:
-    return F.xxhash64(token).bitwiseAND(HALF - 1).cast("int")
+def _word_buckets(word: Column) -> Column:
+    """Buckets of a word without the punctuation at its end, and of that; null where there is nothing."""
+    stem = F.rtrim(word, F.lit(PUNCTUATION))
+    end = F.substring(word, F.length(stem) + 1, F.length(word))
+    return F.array(*[F.when(x != "", F.xxhash64(F.lit(kind), x).bitwiseAND(HALF - 1).cast("int")) for kind, x in ((1, stem), (2, end))])
 
 
 def _pair_bucket(a: Column, b: Column) -> Column:
-    """The bucket of a pair, in the upper half; null without a second token."""
+    """The bucket of a pair of words, in the upper half; null without a second word."""
     return F.when(b.isNotNull(), HALF + F.xxhash64(a, b).bitwiseAND(HALF - 1).cast("int"))
 
 
-def _neighbours(tokens: DataFrame) -> DataFrame:
-    """A row (``a``, ``b``) for each token in the lists ``t`` and the one behind it."""
-    others = [c for c in tokens.columns if c != "t"]
-    return tokens.select(*others, F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))).alias("f")).select(*others, "f.a", "f.b")
+def _neighbours(words: DataFrame) -> DataFrame:
+    """A row (``a``, ``b``) for each word in the lists ``w`` and the one behind it."""
+    others = [c for c in words.columns if c != "w"]
+    return words.select(*others, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("f")).select(*others, "f.a", "f.b")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """A row for each token and pair of ``rows`` (``__text`` and others), with its ``bucket``."""
+    """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
     others = [c for c in rows.columns if c != "__text"]
-    both = _neighbours(rows.select(*others, _tokens(F.col("__text")).alias("t")))
-    both = both.select(*others, F.explode(F.array(_token_bucket(F.col("a")), _pair_bucket(F.col("a"), F.col("b")))).alias("bucket"))
+    both = _neighbours(rows.select(*others, word_list(F.lower("__text")).alias("w")))
+    both = both.select(*others, F.explode(F.concat(_word_buckets(F.col("a")), F.array(_pair_bucket(F.col("a"), F.col("b"))))).alias("bucket"))
     return both.filter("bucket IS NOT NULL")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """``bucket``, ``raw``, ``good``: in how many documents a token is, and how often a pair occurs; in all and in trusted ones."""
-    tokens = rows.select("__good", _tokens(F.col("__text")).alias("t"))
-    single = tokens.select("__good", F.explode(F.array_distinct("t")).alias("a")).select("__good", _token_bucket(F.col("a")).alias("bucket"))
-    pairs = _neighbours(tokens).filter("b IS NOT NULL").select("__good", _pair_bucket(F.col("a"), F.col("b")).alias("bucket"))
+    """``bucket``, ``raw``, ``good``: how many distinct words of documents have a feature, and how often a pair occurs; in all and in
+    trusted documents."""
+    words = rows.select("__good", word_list(F.lower("__text")).alias("w"))
+    single = words.select("__good", F.explode(F.array_distinct("w")).alias("a")).select("__good", F.explode(_word_buckets(F.col("a"))).alias("bucket"))
+    pairs = _neighbours(words).select("__good", _pair_bucket(F.col("a"), F.col("b")).alias("bucket"))
     count = [F.count("*").alias("raw"), F.count("__good").alias("good")]
-    return single.groupBy("bucket").agg(*count).unionByName(pairs.groupBy("bucket").agg(*count))
+    return single.filter("bucket IS NOT NULL").groupBy("bucket").agg(*count).unionByName(pairs.filter("bucket IS NOT NULL").groupBy("bucket").agg(*count))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
@@ -138,7 +162,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     expected = F.col("raw") * rate
     good_n = F.col("good").cast("double")
     told = F.greatest(2 * (F.when(good_n > 0, good_n * F.log(good_n / expected)).otherwise(0.0) - good_n + expected), F.lit(0.0))
-    ratio = F.log((good_n + SMOOTHING) / (expected + SMOOTHING)) * F.pow(told / (told + EVIDENCE), F.lit(POWER))
+    doubt = F.when(F.col("bucket") >= HALF, F.lit(PAIR_EVIDENCE)).otherwise(F.lit(EVIDENCE))
+    ratio = F.log((good_n + SMOOTHING) / (expected + SMOOTHING)) * F.pow(told / (told + doubt), F.lit(POWER))
     weight = F.round(UNIT * ratio).cast("long")
     return counts.filter(expected > 0).select("bucket", weight.alias("weight"))
 
