@@ -3,8 +3,8 @@
 Features are the lower-cased words without the punctuation at their ends, those ends, and pairs of neighbouring words, hashed
 into ``BUCKETS``. Two counts for each bucket, over the trusted documents and over all, give it a log ratio, shrunk the more the
 less evidence there is. Words and ends are one multinomial, in which a document's distinct words count once, as their
-repetitions are no evidence of their own; pairs are another. None is cut off. A document's score is the sum over its features divided by its words (and ``PRIOR_WORDS``), so that length
-plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
+repetitions are no evidence of their own; pairs are another. None is cut off. A document's score is the sum over its features
+divided by its words (and ``PRIOR_WORDS``), so that length plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
 so that the verdict does not depend on the order of any sum.
 """
 
@@ -26,30 +26,6 @@ HALF = BUCKETS // 2  # tokens are hashed into the lower half of the buckets, pai
 TRUSTED_DOCS = 50_000
 #: A log ratio counts by (G / (G + evidence)) ** POWER; G: twice the log likelihood that it explains. Pairs, which count every time, need more.
 SMOOTHING, EVIDENCE, PAIR_EVIDENCE, POWER = 0.5, 5.0, 12.0, 3
-PRIOR_WORDS``), so that length
-plays little part, and documents below a fixed threshold are rejected. All counts are whole numbers and all weights millionths,
-so that the verdict does not depend on the order of any sum.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rankweave.llm.common import body, id_key, materialize, table
-
-WORD = r"[^\x20\x09-\x0D]+"
-SPACE = " \t\n\x0b\x0c\r"
-PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
-SYMBOLS = r"[#*$%&|<>]"
-MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
-BUCKETS = 1 << 18
-HALF = BUCKETS // 2  # tokens are hashed into the lower half of the buckets, pairs into the upper one
-#: Trusted documents are at most so many (those with the least hash of the id); counts of the corpus are over all of it.
-TRUSTED_DOCS = 50_000
-import os
-PAIR_EVIDENCE = float(os.environ.get("PE", "30"))
-SMOOTHING, EVIDENCE, POWER = 0.5, float(os.environ.get("EV", "7")), 3  # a log ratio counts by (G / (G + EVIDENCE)) ** POWER; G: twice the log likelihood it explains
 PRIOR_WORDS = 100  # words without a say that every document has besides its own, so that no single one rejects a short text
 THRESHOLD = -0.015
 UNIT = 1_000_000
