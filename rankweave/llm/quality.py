@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.common import body, id_key, materialize, table
 
-WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 PUNCTUATION = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 SYMBOLS = r"[#*$%&|<>]"
@@ -70,7 +69,7 @@ def repeated_words(words: Column, window: int = REPEAT_WORDS) -> Column:
 
 def base_rules(text: Column) -> dict[str, Column]:
     """The counts that the base rules need, by name; ``__words`` is the list of words."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACE)) != "")
     return {
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
@@ -86,11 +85,11 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _word_buckets(word: Column) -> Column:
+def _word_buckets(word: Column) -> list[Column]:
     """Buckets of a word without the punctuation at its end, and of that; null where there is nothing."""
     stem = F.rtrim(word, F.lit(PUNCTUATION))
     end = F.substring(word, F.length(stem) + 1, F.length(word))
-    return F.array(*[F.when(x != "", F.xxhash64(F.lit(kind), x).bitwiseAND(HALF - 1).cast("int")) for kind, x in ((1, stem), (2, end))])
+    return [F.when(x != "", F.xxhash64(F.lit(kind), x).bitwiseAND(HALF - 1).cast("int")) for kind, x in ((1, stem), (2, end))]
 
 
 def _pair_bucket(a: Column, b: Column) -> Column:
@@ -108,7 +107,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
     """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
     others = [c for c in rows.columns if c != "__text"]
     both = _neighbours(rows.select(*others, word_list(F.lower("__text")).alias("w")))
-    both = both.select(*others, F.explode(F.concat(_word_buckets(F.col("a")), F.array(_pair_bucket(F.col("a"), F.col("b"))))).alias("bucket"))
+    both = both.select(*others, F.explode(F.array(*_word_buckets(F.col("a")), _pair_bucket(F.col("a"), F.col("b")))).alias("bucket"))
     return both.filter("bucket IS NOT NULL")
 
 
@@ -116,7 +115,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     """``bucket``, ``raw``, ``good``: how many distinct words of documents have a feature, and how often a pair occurs; in all and in
     trusted documents."""
     words = rows.select("__good", word_list(F.lower("__text")).alias("w"))
-    single = words.select("__good", F.explode(F.array_distinct("w")).alias("a")).select("__good", F.explode(_word_buckets(F.col("a"))).alias("bucket"))
+    single = words.select("__good", F.explode(F.array_distinct("w")).alias("a")).select("__good", F.explode(F.array(*_word_buckets(F.col("a")))).alias("bucket"))
     pairs = _neighbours(words).select("__good", _pair_bucket(F.col("a"), F.col("b")).alias("bucket"))
     count = [F.count("*").alias("raw"), F.count("__good").alias("good")]
     return single.filter("bucket IS NOT NULL").groupBy("bucket").agg(*count).unionByName(pairs.filter("bucket IS NOT NULL").groupBy("bucket").agg(*count))
