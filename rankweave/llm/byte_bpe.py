@@ -29,8 +29,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The fold looks at every pair of a piece for every merge; longer pieces go through a heap instead, with the same result.
 FOLD_BYTES = 256
 BUCKETS = 65536
-GATHER = 200_000  # distinct words that a task holds before it cuts them into pieces
-GATHER_PIECES = 400_000  # distinct pieces that a task holds before it hands them on
+GATHER = 300_000  # distinct words that a task holds before it hands their pieces on
 KEEP = 200_000  # distinct words whose ids a task keeps
 
 
@@ -168,25 +167,17 @@ def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, t
 
         part, cut = TaskContext.get().partitionId(), cutter(pattern)
         held: set[str] = set()
-        found: set[str] = set()
-
-        def cut_held():
-            found.update(*map(cut, held))
-            held.clear()
 
         def rows():
-            names = [x for x in found if not _long(x)]
-            found.clear()
+            names = list({y for x in held for y in cut(x) if not _long(y)})
             return pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string())], names=["part", "piece"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.update(chunks(text))
                 if len(held) > GATHER:
-                    cut_held()
-                    if len(found) > GATHER_PIECES:
-                        yield rows()
-        cut_held()
+                    yield rows()
+                    held.clear()
         yield rows()
 
     n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism * 2)
