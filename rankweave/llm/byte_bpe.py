@@ -18,6 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FOLD_BYTES = 256
 BUCKETS = 65536
 GATHER = 300_000  # distinct words that a task holds before it hands their pieces on
-KEEP = 200_000  # distinct words whose ids a task keeps
+KEEP = 150_000  # distinct words whose ids a task keeps
+SLICE_BYTES = 8 << 20  # of text that is cut at once; a longer text alone
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,6 +135,42 @@ def chunks(text: str) -> list[str]:
     return ["\0" + x for x in _chunks(text)]
 
 
+def cut_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts of a batch in one array, and where each text's begin (one more: where the last text's end).
+    A text may have an empty chunk (NUL alone) in front."""
+    if not texts.null_count and not any("\0" in x or _runs(x) for x in texts.to_pylist()):
+        marked = pc.binary_join_element_wise("\0", texts, "")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \0\n \0"), " ")
+    else:
+        lists = pa.array([chunks(x or "") for x in texts.to_pylist()], pa.list_(pa.string()))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return lists.flatten(), ends
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about SLICE_BYTES of column ``at``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        done = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def joined(parts: pa.Array, ends: np.ndarray) -> list[bytes]:
+    """The binary values of ``parts`` from each of ``ends`` to the next, joined."""
+    offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset: parts.offset + len(parts) + 1]
+    data, cuts = parts.buffers()[2], offsets[ends].tolist()
+    return [data[a:b].to_pybytes() for a, b in pairwise(cuts)] if data is not None else [b""] * (len(ends) - 1)
+
+
+def decode_ids(ids: list[bytes], tokens: pa.Array) -> list[bytes]:
+    """What each of ``ids`` (packed) stands for: its tokens' bytes, one after the other."""
+    every = pa.array(np.frombuffer(b"".join(ids), "<u4"))
+    return joined(tokens.take(every), np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64))
+
+
 def whole(chunk: str) -> str:
     return chunk[1:] if chunk.startswith("\0") else " " + chunk
 
@@ -165,12 +203,12 @@ def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, t
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, cut = TaskContext.get().partitionId(), cutter(pattern)
+        scan, cut = TaskContext.get().partitionId(), cutter(pattern)
         held: set[str] = set()
 
         def rows():
             names = list({y for x in held for y in cut(x) if not _long(y)})
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string())], names=["part", "piece"])
+            return pa.RecordBatch.from_arrays([pa.array([scan] * len(names), pa.int32()), pa.array(names, pa.string())], names=["part", "piece"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -218,9 +256,10 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         from pyspark import TaskContext
 
         known, cut = _dictionary(folder, TaskContext.get().partitionId()), cutter(pattern)
-        tokens = [b""] * (max(shared.value.values()) + 1)
+        names = [b""] * (max(shared.value.values()) + 1)
         for token, rank in shared.value.items():
-            tokens[rank] = token
+            names[rank] = token
+        tokens = pa.array(names, pa.binary())
 
         class ByChunk(dict):
             def __missing__(self, x: str) -> bytes:
@@ -231,11 +270,12 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
         ids_of = ByChunk().__getitem__
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                ids = [b"".join(map(ids_of, chunks(x or ""))) for x in part.column(at).to_pylist()]
-                decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-                cols = [part.column(i) for i in keep_at] + [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+            for part in slices(batch, at):
+                words, ends = cut_batch(part.column(at))
+                words = words.dictionary_encode()
+                each = pa.array(list(map(ids_of, words.dictionary.to_pylist())), pa.binary())
+                ids = joined(each.take(words.indices), ends)
+                cols = [part.column(i) for i in keep_at] + [pa.array(ids, pa.binary()), pa.array(decode_ids(ids, tokens), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.mapInArrow(run, schema)
