@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import body, discard, materialize, part_batches, release, shuffle_partitions, table, write_by_part
+from rankweave.llm.common import body, discard, materialize, part_batches, shuffle_partitions, table, write_by_part
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The fold looks at every pair of a piece for every merge; longer pieces go through a heap instead, with the same result.
@@ -224,7 +224,6 @@ def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, t
     encoded = materialize(words.select("parts", "piece", RankTable(ranks).encode(F.col("piece")).alias("ids")), "encoded")
     folder = write_by_part(encoded, ["piece", "ids"], n)
     discard(encoded)
-    release(spark)
     return folder
 
 

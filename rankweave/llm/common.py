@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or in a session without one (a test on one machine) a
-    folder of its own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Without it there is none that can be known to be shared."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="rankweave-")
-        where = _OWN[app]
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.gettempdir()}/rankweave-{spark.sparkContext.applicationId}"  # one process: its own disk
     return where.rstrip("/")
 
 
@@ -36,29 +31,75 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/rankweave-{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Inside, the shuffle files of a query go when it ends, not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: What the innermost ``scratch`` is to delete: folders and tables.
+_MADE: list[list[str]] = []
+
+
+def _note(path: str) -> None:
+    if _MADE:
+        _MADE[-1].append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """On the way out deletes the folders and tables that were made inside, but for those of the tables in the list it yields,
+    which pass to the ``scratch`` around it, if there is one."""
+    _MADE.append([])
+    keep: list[DataFrame] = []
+    try:
+        yield keep
+    finally:
+        made, kept = _MADE.pop(), {df.rankweave_path for df in keep}
+        for path in made:
+            if path in kept:
+                _note(path)
+            elif path.startswith("table "):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                delete_dir(spark, path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again."""
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    _note(path)
+    with shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.rankweave_path = path
     return out
 
 
+def bucketed(df: DataFrame, n: int, keys: list[str], tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in ``n`` buckets by ``keys``, sorted: joins on them then move only the other side."""
+    name, spark = f"{tag}_{uuid.uuid4().hex}", df.sparkSession
+    path = fresh_dir(spark, tag)
+    _note(path)
+    _note(f"table {name}")
+    with shuffles_end(spark):
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing will read it again."""
     for df in tables:
         delete_dir(df.sparkSession, df.rankweave_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def delete_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,7 +145,8 @@ def write_by_part(entries: DataFrame, columns: list[str], n: int) -> str:
     part. A part's rows are what one partition of a scan holds, so no task writes more than that for it."""
     folder = fresh_dir(entries.sparkSession, "parts")
     rows = entries.select(F.explode("parts").alias("part"), *columns).repartition(n, "part")
-    rows.write.partitionBy("part").option("compression", "zstd").parquet(folder)
+    with shuffles_end(entries.sparkSession):
+        rows.write.partitionBy("part").option("compression", "zstd").parquet(folder)
     return folder
 
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import math
 import struct
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import body, fresh_dir, id_key, join_hot, materialize, release, shuffle_partitions, table, NULL_ID
+from rankweave.llm.common import NULL_ID, body, bucketed, id_key, join_hot, materialize, scratch, shuffle_partitions, table
 from rankweave.llm.components import components
 
 SHINGLE = 4
@@ -248,44 +247,25 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "sid", "left").withColumn("comp", F.coalesce("comp0", "sid")).drop("comp0")
 
 
-def _bucketed(texts: DataFrame, n: int) -> DataFrame:
-    """``texts`` by (key, hash) in buckets, as the join that made them deals them: later joins move only the other side."""
-    name, spark = f"sets_{uuid.uuid4().hex}", texts.sparkSession
-    texts.write.format("parquet").option("path", fresh_dir(spark, "texts")).option("compression", "zstd").bucketBy(n, "key", "hash").sortBy("key", "hash").saveAsTable(name)
-    release(spark)
-    return spark.table(name)
-
-
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = SHINGLE,
-                    group_sets: int = GROUP_SETS, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """One row per row of ``docs``: ``key`` (the id; null: the least long), ``hash`` (xxhash64 of the text), ``n_shingles``
-    and ``component`` (the least key that is reachable by links, its own included).
-
-    A-Z are lower-cased; a set holds the distinct runs of ``n`` words, or all words where there are fewer, as 64-bit hashes.
-    Sets link when 100 * overlap >= percent * union. Null and empty texts and those of white space have empty sets and
-    are linked with nothing: each is the component of its own id. Rows that share an id and differ in text are sets of their own.
-
-    No step puts more than ``group_sets`` sets or ``group_chars`` of text (a longer text alone) into a task: larger groups are
-    joined in blocks, then the first block with every other; then those that are not yet in the group's largest component
-    with every block. Pairs that are left out are of one component already, so the components are exact.
-    """
-    spark = docs.sparkSession
-    own = docs.select(id_key(id_col).alias("key"), body(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-
+def _described(own: DataFrame, n: int) -> DataFrame:
+    """``key``, ``hash``, ``n_shingles``, ``sid`` (of the set) and ``size`` (of the text) of every row."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [shingle(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, texts), pa.int64())],
-                                             names=["key", "hash", "n_shingles", "sid", "size"])
+            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "hash", "n_shingles", "sid", "size"])
 
-    rows = materialize(own.mapInArrow(describe, "key long, hash long, n_shingles long, sid long, size long"), "sets")
-    total = rows.count()
-    sets = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("key", "hash", "size")).alias("rep"), F.count("*").alias("copies"))
-    sets = materialize(sets.select("sid", "rep.*", "copies"), "distinct")
-    texts = _bucketed(own.join(sets.select("sid", "key", "hash"), ["key", "hash"]).select("key", "hash", "sid", "text"), shuffle_partitions(spark))
+    return own.mapInArrow(describe, "key long, hash long, n_shingles long, sid long, size long")
 
+
+def _candidates(texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """``a``, ``b``: edges that connect all sets that share a signature.
+
+    A task first connects what it holds: of a million signatures it hands on each once, with the least set that has it. A signature
+    of very many sets therefore has a row for each such million, not one for each set.
+    """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(sig, sid, null) once for each signature, with the least sid; (null, sid, other sid) for the others that have it."""
         shingle, sigs, sids, held = Shingler(n), [], [], 0
@@ -314,30 +294,66 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = texts.select("sid", "text").mapInArrow(sign, "sig long, sid long, other long")
     by_sig = Window.partitionBy("sig", "other")  # "other" only spreads the rows of the second kind
     least = F.when(F.col("sig").isNull(), F.col("sid")).otherwise(F.min("sid").over(by_sig))
-    edges = signed.select(least.alias("a"), F.coalesce("other", "sid").alias("b")).filter("a <> b").distinct()
-    groups = components(materialize(edges, "candidates")).select(F.col("node").alias("sid"), F.col("root").alias("gid"))
+    return signed.select(least.alias("a"), F.coalesce("other", "sid").alias("b")).filter("a <> b").distinct()
 
+
+def _dealt(sets: DataFrame, groups: DataFrame, group_sets: int, group_chars: int) -> DataFrame:
+    """The members of the groups with ``blk``, their block, and ``nb``, the number of blocks of the group."""
     members = materialize(sets.join(groups, "sid").select("sid", "key", "hash", "size", "gid"), "members")
     sizes = members.groupBy("gid").agg(F.count("*").alias("m"), F.sum("size").alias("w"))
-    sizes = sizes.select("gid", F.greatest(F.ceil(F.col("m") / group_sets), F.ceil(F.col("w") / group_chars)).cast("int").alias("nb"))
-    blocks = members.drop("size").join(sizes, "gid").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    blocks = materialize(blocks, "blocks")
+    blocks = F.greatest(F.ceil(F.col("m") / group_sets), F.ceil(F.col("w") / group_chars)).cast("int")
+    sizes = sizes.select("gid", blocks.alias("nb"))
+    return members.drop("size").join(sizes, "gid").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+
 
-    tasks = texts.select("key", "hash", "text").join(blocks, ["key", "hash"]).select("gid", "blk", "sid", F.col("sid").alias("comp"), F.lit(-1).alias("side"), "text")
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = SHINGLE,
+                    group_sets: int = GROUP_SETS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """One row per row of ``docs``: ``key`` (the id, a whole number; null: the least long), ``hash`` (xxhash64 of the text),
+    ``n_shingles`` and ``component`` (the least key that is reachable by links, its own included).
+
+    A-Z are lower-cased; a set holds the distinct runs of ``n`` words, or all words where there are fewer, as 64-bit hashes.
+    Sets link when 100 * overlap >= percent * union. Null and empty texts and those of white space have empty sets and
+    are linked with nothing: each is the component of its own id. Rows that share an id and differ in text are sets of their own.
+
+    No step puts more than ``group_sets`` sets or ``group_chars`` of text (a longer text alone) into a task: larger groups are
+    joined in blocks, then the first block with every other; then those that are not yet in the group's largest component
+    with every block. Pairs that are left out are of one component already, so the components are exact.
+    """
+    spark = docs.sparkSession
+    own = docs.select(id_key(id_col).alias("key"), body(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    with scratch(spark) as keep:
+        rows = materialize(_described(own, n), "sets")
+        total = rows.count()
+        sets = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("key", "hash", "size")).alias("rep"), F.count("*").alias("copies"))
+        sets = materialize(sets.select("sid", "rep.*", "copies"), "distinct")
+        texts = own.join(sets.select("sid", "key", "hash"), ["key", "hash"]).select("key", "hash", "sid", "text")
+        texts = bucketed(texts, shuffle_partitions(spark), ["key", "hash"], "sets")
+
+        edges = materialize(_candidates(texts, percent, n), "candidates")
+        groups = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("gid"))
+        blocks = materialize(_dealt(sets, groups, group_sets, group_chars), "blocks")
+        labels = _class_labels(texts, blocks, percent, n, group_sets)
+
+        least = sets.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        least = least.groupBy("comp").agg(F.min("key").alias("component")).join(least.select("sid", "comp", "copies"), "comp")
+        least = materialize(least.select("sid", "component", "copies"), "classes")
+        keep += [rows, least]
+    named = join_hot(rows.filter("n_shingles > 0"), least, ["sid"], "copies", total)
+    alone = rows.filter("n_shingles = 0").withColumn("component", F.col("key"))
+    return named.select("key", "hash", "n_shingles", "component").unionByName(alone.select("key", "hash", "n_shingles", "component"))
+
+
+def _class_labels(texts: DataFrame, blocks: DataFrame, percent: int, n: int, group_sets: int) -> DataFrame:
+    """``sid``, ``comp``: the component of every set in ``blocks``."""
+    tasks = texts.select("key", "hash", "text").join(blocks, ["key", "hash"])
+    tasks = tasks.select("gid", "blk", "sid", F.col("sid").alias("comp"), F.lit(-1).alias("side"), "text")
     links = _links(tasks, ["gid", "blk"], percent, n)
     big = blocks.filter("nb > 1")
     if big.limit(1).count():
         inside = links.join(big.select(F.col("sid").alias("a")), "a", "left_semi")
         across = components(_across(texts, big, materialize(inside, "links"), percent, n, group_sets))
         links = links.join(across, links.a == across.node, "left").select("a", F.coalesce("root", "b").alias("b"))
-    labels = links.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
-    least = sets.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = least.groupBy("comp").agg(F.min("key").alias("component")).join(least.select("sid", "comp", "copies"), "comp")
-    least = materialize(least.select("sid", "component", "copies"), "classes")
-    release(spark)
-    named = join_hot(rows.filter("n_shingles > 0"), least, ["sid"], "copies", total)
-    alone = rows.filter("n_shingles = 0").withColumn("component", F.col("key"))
-    return named.select("key", "hash", "n_shingles", "component").unionByName(alone.select("key", "hash", "n_shingles", "component"))
+    return links.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
 
 
 def _across(texts: DataFrame, big: DataFrame, links: DataFrame, percent: int, n: int, group_sets: int) -> DataFrame:

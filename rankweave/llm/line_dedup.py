@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import body, delete_dir, fresh_dir, id_key, join_hot, materialize, release, shuffle_partitions, table
+from rankweave.llm.common import body, delete_dir, fresh_dir, id_key, join_hot, materialize, shuffle_partitions, table
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -106,7 +106,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         drops.append(materialize(found.filter(F.col("__first").isNull() | (F.col("__k") > F.col("__first"))).select("__k", "__x", "__pos"), "drops"))
         if b < len(set(bounds)):
             runs.add(new.select(*KEYS))
-        release(spark)
     runs.close()
 
     drops = reduce(DataFrame.unionByName, drops).groupBy("__k", "__x").agg(F.collect_set("__pos").alias("__drop"))

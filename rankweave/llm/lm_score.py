@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import body, discard, materialize, part_batches, release, shuffle_partitions, table, write_by_part
+from rankweave.llm.common import body, discard, materialize, part_batches, shuffle_partitions, table, write_by_part
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
@@ -232,7 +232,6 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     discard(found)
     folder = write_by_part(weighed, ["word", "times", "weight"], n)
     discard(weighed)
-    release(spark)
     below = math.log10(total + distinct + 1)
     end_base, end_score = math.log10(n_docs + 1) - below, float(_log(p)[-1] / math.log(10))
 

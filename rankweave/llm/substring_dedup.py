@@ -26,11 +26,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import NULL_ID, body, discard, fresh_dir, id_key, join_hot, materialize, release, shuffle_partitions, table
+from rankweave.llm.common import NULL_ID, body, bucketed, discard, id_key, join_hot, materialize, shuffle_partitions, table
 
 THRESHOLD = 50
 GRAM, HALF = 20, 15
@@ -252,14 +251,6 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(found.drop("l"), "shared")
 
 
-def _bucketed(texts: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """``texts`` by ``k`` in buckets: joins on ``k`` then move only the other side."""
-    name, spark = f"texts_{uuid.uuid4().hex}", texts.sparkSession
-    (texts.repartition(n, "k").write.format("parquet").option("path", fresh_dir(spark, "texts")).option("compression", "zstd").bucketBy(n, "k").sortBy("k").saveAsTable(name))
-    release(spark)
-    return spark.table(name), name
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key`` (the id; null: the least long), ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``
     (binary, as a cut may fall inside a character).
@@ -276,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = materialize(join_hot(rows, materialize(classes, "classes"), ["x", "y", "size"], "n", rows.count()).select("k", "x", "size", "first"), "placed")
     copies = placed.filter("k > first").select(F.col("k").alias("key"), F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     firsts = placed.filter("k = first").select("k", "x").distinct()
-    texts, name = _bucketed(own.join(firsts, ["k", "x"]).select("k", "text"), n)
+    texts = bucketed(own.join(firsts, ["k", "x"]).select("k", "text").repartition(n, "k"), n, ["k"], "texts")
     short = own.filter(F.octet_length("text") < THRESHOLD)
     short = short.select(F.col("k").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
 

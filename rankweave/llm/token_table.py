@@ -215,7 +215,7 @@ def _open(path: str):
     return fs, where
 
 
-MANIFEST = "part int, path string, bytes long, first_id long, last_id long, n_docs long, n_ids long"
+MANIFEST = "part long, path string, bytes long, first_id long, last_id long, n_docs long, n_ids long"
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID,
@@ -259,13 +259,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
                     name = f"{where}/{part:06d}-{len(rows):04d}-{uuid.uuid4().hex}.sst"
                     out = fs.open_output_stream(name)
                     writer = ShardWriter(out)
-                    rows.append([part * 10000 + len(rows), f"{folder}/{name.rpartition('/')[2]}", 0, key, key, 0, 0])
+                    rows.append([(part << 32) + len(rows), f"{folder}/{name.rpartition('/')[2]}", 0, key, key, 0, 0])
                 writer.add(encode_key(key), ids)
                 rows[-1][4] = key
         if writer is not None:
             close()
         if rows:
-            types = [pa.int32(), pa.string()] + [pa.int64()] * 5
+            types = [pa.int64(), pa.string()] + [pa.int64()] * 5
             names = [x.split()[0] for x in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

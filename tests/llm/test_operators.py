@@ -105,7 +105,7 @@ def test_quality_gives_rare_words_a_weight_in_small_tables(spark):
         if i % 3 == 0:
             labels.append((i, 1, int(bad)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    words = spark.createDataFrame([(w,) for w in insults], "w string").select(F.xxhash64(F.lit(1), "w").bitwiseAND(quality.BUCKETS - 1).cast("int").alias("bucket"))
+    words = spark.createDataFrame([(w,) for w in insults], "w string").select(quality._word_buckets(F.col("w"))[0].alias("bucket"))
     weights = words.join(quality.bucket_weights(docs, labels, "doc_id", "text"), "bucket").collect()
     assert len(weights) == 10 and all(r["weight"] < 0 for r in weights)
     out = quality.quality(docs, labels).collect()
@@ -113,9 +113,58 @@ def test_quality_gives_rare_words_a_weight_in_small_tables(spark):
     assert not any(r["kept"] for r in bad) and sum(r["kept"] for r in out) >= 0.98 * (len(out) - len(bad))
 
 
-def test_distinct_buckets_are_those_of_the_features(spark):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["One two, one TWO,\n(two) ... one", "", "x", " a  b a b a b!"])], "i long, __text string")
-    assert sorted(map(tuple, quality._distinct_buckets(rows).collect())) == sorted(map(tuple, quality._buckets(rows).distinct().collect()))
+def test_quality_against_brute_force(spark, docs):
+    """Counts, weights, score and verdict of every document, from features told apart in Python; only their hashes are Spark's."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    ids = sorted({i for i, _ in rows if i is not None})
+    labels = [(i, int(i % 3 > 0), int(i % 5 == 0)) for i in ids if i % 4]
+    trusted = {i for i, q, t in labels if q and not t}
+    space, punctuation = " \t\n\x0b\x0c\r", "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+    def words(text):
+        out = (text or "").lower().translate({ord(c): " " for c in space}).split(" ")
+        return [w for w in out if w]
+
+    def singles(w):
+        stem = w.rstrip(punctuation)
+        return [(kind, x) for kind, x in ((1, stem), (2, w[len(stem):])) if x]
+
+    every = {f for _, t in rows for w in words(t) for f in singles(w)}
+    pairs = {p for _, t in rows for p in zip(words(t), words(t)[1:])}
+    hashed = spark.createDataFrame([(k, x) for k, x in every], "k int, x string").select("k", "x", F.xxhash64("k", "x").bitwiseAND(quality.HALF - 1).alias("b")).collect()
+    bucket = {(r["k"], r["x"]): r["b"] for r in hashed}
+    hashed = spark.createDataFrame([*pairs], "a string, c string").select("a", "c", quality._pair_bucket(F.col("a"), F.col("c")).alias("b")).collect()
+    bucket |= {(r["a"], r["c"]): r["b"] for r in hashed}
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        found = [bucket[f] for w in set(words(t)) for f in singles(w)] + [bucket[p] for p in zip(words(t), words(t)[1:])]
+        raw.update(found)
+        good.update(found if i in trusted else ())
+    weight = {}
+    for b in raw:
+        half = [x for x in raw if (x >= quality.HALF) == (b >= quality.HALF)]
+        e = raw[b] * sum(good[x] for x in half) / sum(raw[x] for x in half)
+        if e > 0:
+            told = max(2 * ((good[b] * math.log(good[b] / e) if good[b] else 0) - good[b] + e), 0)
+            doubt = quality.PAIR_EVIDENCE if b >= quality.HALF else quality.EVIDENCE
+            weight[b] = math.log((good[b] + quality.SMOOTHING) / (e + quality.SMOOTHING)) * (told / (told + doubt)) ** quality.POWER * quality.UNIT
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["bucket"]: r["weight"] for r in quality.bucket_weights(docs, labels, "doc_id", "text").collect()}
+    assert set(got) == set(weight) and all(abs(got[b] - weight[b]) < 0.51 for b in got)
+
+    out = Counter((r["doc_id"], r["n_words"], round(r["score"], 9), r["kept"]) for r in quality.quality(docs, labels).collect())
+    want = Counter()
+    for i, t in rows:
+        ws = words(t)
+        total = sum(got.get(bucket[f], 0) for w in ws for f in singles(w)) + sum(got.get(bucket[p], 0) for p in zip(ws, ws[1:]))
+        windows = Counter(tuple(ws_[k: k + 8]) for ws_ in [(t or "").translate({ord(c): " " for c in space}).split()] for k in range(len(ws_) - 7))
+        cased = [w for w in (t or "").translate({ord(c): " " for c in space}).split(" ") if w]
+        again = {k + j for k in range(len(cased) - 7) if windows[tuple(cased[k: k + 8])] > 1 for j in range(8)}
+        failed = len(ws) < 20 or 100 * len(again) > 30 * len(ws)
+        score = total / (len(ws) + quality.PRIOR_WORDS)
+        want[i, len(ws), round(score / quality.UNIT, 9), not failed and score >= quality.THRESHOLD * quality.UNIT] += 1
+    assert out == want
 
 
 # 2
