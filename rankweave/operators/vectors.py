@@ -32,15 +32,24 @@ def _digest(features: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"high": [int.from_bytes(d[:4], "little") for d in digests], "sign": [1 if d[4] & 1 else -1 for d in digests]})
 
 
-def hash_encode(texts: DataFrame, id_col: str = "id", text_col: str = "text", dimensions: int = 384) -> DataFrame:
+def _md5(feature: Column) -> Column:
+    """As ``_digest``, of the MD5 and as a column."""
+    h = F.md5(feature)
+    little = F.concat(*[F.substring(h, 7 - 2 * i, 2) for i in range(4)])
+    odd = F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 1
+    return F.struct(F.conv(little, 16, 10).cast("long").alias("high"), F.when(odd, 1).otherwise(-1).alias("sign"))
+
+
+def hash_encode(texts: DataFrame, id_col: str = "id", text_col: str = "text", dimensions: int = 384, digest: str = "blake2b") -> DataFrame:
     """(id, vector array<double>): signed counts of tokens, their first and their last four characters, at length 1.
 
-    Python hashes each distinct feature once; counting is relational. A text without tokens has the zero vector.
+    Each distinct feature is hashed once, with ``digest`` blake2b in Python, with md5 as a column; counting is relational. A text
+    without tokens has the zero vector.
     """
     tokens = texts.select(F.col(id_col).alias("id"), F.explode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))
     features = tokens.select("id", F.explode(F.array("t", F.substring("t", 1, 4), F.expr("right(t, 4)"))).alias("feature"))
     counts = features.groupBy("id", "feature").agg(F.count("*").alias("n"))
-    hashed = counts.select("feature").distinct().withColumn("h", F.pandas_udf(_digest, "struct<high:long,sign:int>")("feature"))
+    hashed = counts.select("feature").distinct().withColumn("h", _md5(F.col("feature")) if digest == "md5" else F.pandas_udf(_digest, "struct<high:long,sign:int>")("feature"))
     hashed = hashed.select("feature", F.pmod("h.high", F.lit(dimensions)).cast("int").alias("idx"), "h.sign")
     cells = counts.join(hashed, "feature").groupBy("id", "idx").agg(F.sum(F.col("sign") * F.col("n")).cast("double").alias("v"))
     rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))).alias("cells"))

@@ -18,6 +18,7 @@ from rankweave.operators.filters import filter_candidates, latest, merge_version
 from rankweave.operators.fusion import fuse
 from rankweave.operators.rerank import rerank
 from rankweave.sources.snippets import check_corpus, with_defaults
+from rankweave.storage import stored
 
 #: An encoder takes (id, text) to (id, vector). Others than the hashing one can be registered.
 ENCODERS: dict[str, Callable[[DataFrame, RetrievalConfig], DataFrame]] = {
@@ -54,9 +55,11 @@ class Engine:
         return self.snippets.select("id", vec.snippet_text(self.snippets).alias("text"))
 
     def build_index(self) -> dict:
+        """Write the tables that every search reads: snippets, the lexical index, vectors."""
         started = time.perf_counter()
+        self.snippets = stored(self.snippets, "snippets")
         self.index = lex.build_index(self.snippets, self.config)
-        self.vectors = encoder(self.config)(self.texts, self.config)
+        self.vectors = stored(encoder(self.config)(self.texts, self.config), "vectors")
         return {"snippet_count": self.size, "index_seconds": time.perf_counter() - started}
 
     def save_index(self, path: str) -> None:
@@ -101,9 +104,11 @@ class Engine:
         """Ranked results of ``queries`` (query_id, query). Filters come after the pool is cut; a query that names a version has it
         filtered unless the filters or ``version`` do."""
         started, k = time.perf_counter(), top_k or self.config.default_top_k
-        understood = understand(queries)
+        understood = stored(understand(queries), "queries")
         signals = ["query_id", "primary_intent", "confidence", "intent_scores", "version_intent", F.col("version").alias("requested_version"), "identifiers", "technical_phrases"]
-        pool = self.candidates(understood).join(self.snippets, "id").join(understood.select(*signals), "query_id")
+        fused = stored(self.candidates(understood), "pool")  # fusion_candidates rows a query
+        retrieved = time.perf_counter()
+        pool = fused.join(self.snippets, "id").join(understood.select(*signals), "query_id")
         fixed = merge_version(filters, version)
         if fixed["version"] == "all" and "version" not in (filters or {}) and version == "all":
             pool = filter_candidates(pool, {**fixed, "version": "all"})
@@ -126,7 +131,7 @@ class Engine:
         out = ranked.filter(F.col("final_rank") <= k).select(
             "query_id", F.col("final_rank").alias("rank"), F.col("id").alias("snippet_id"), F.bround(score, 6).alias("score"), "file_path", "function_name", "class_name", "language",
             "version", "repository", "code", signals.alias("retrieval_signals"))
-        self.timings = {"planning_seconds": time.perf_counter() - started}
+        self.timings = {"retrieval_seconds": retrieved - started, "planning_seconds": time.perf_counter() - retrieved}
         return out
 
     def search_one(self, query: str, **options) -> list[dict]:

@@ -2,19 +2,23 @@
 
 ``documents`` are snippets (doc_id as id, text as code, source as repository, lang as language; version and function name follow from
 doc_id), ``benchmark`` items are queries, ``embeddings`` are the vectors of the documents and items of the same number. A document is
-judged relevant to an item if it holds the item's first 60 characters; its grade is 1 plus its quality label.
+judged relevant to an item if it holds any 13 consecutive words of it (all of a shorter one); its grade is 1 plus its quality label.
+
+The index of a table is built by the first query that needs it and read by the others, until the table changes.
 """
 
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankweave import vocabulary as V
 from rankweave.config import RetrievalConfig
 from rankweave.functions import text as X
-from rankweave.functions.understand import understand
+from rankweave.functions.understand import PROGRAMMING_TERMS, intent_score, understand
 from rankweave.operators import fusion, lexical, metrics, vectors
 from rankweave.operators.filters import filter_candidates
 from rankweave.operators.rerank import rerank
@@ -22,9 +26,11 @@ from rankweave.plans.engine import Engine
 from rankweave.sources import benchmark as bm
 from rankweave.sources import chunking
 from rankweave.sources.snippets import with_defaults
+from rankweave.storage import modified
 
 CODE = dataclasses.replace(RetrievalConfig(), field_weights={"code": 1.0})
-PREFIX = 60
+WINDOW = 13
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,8 +51,22 @@ def items(spark, sf):
     return read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
 
 
+_BUILT: dict[tuple, lexical.LexicalIndex] = {}
+
+
 def index(spark, sf):
-    return lexical.build_index(documents(spark, sf).select("id", "code"), CODE)
+    """The stored index of the documents."""
+    at = (spark.sparkContext.applicationId, sf, modified(spark, f"{sf}/documents.parquet"))
+    if at not in _BUILT:
+        _BUILT[at] = lexical.build_index(documents(spark, sf).select("id", "code"), CODE)
+    return _BUILT[at]
+
+
+def build_index(spark, sf):
+    """Builds the index anew; the size of each of its tables."""
+    built = lexical.build_index(documents(spark, sf).select("id", "code"), CODE)
+    sizes = [getattr(built, n).agg(F.lit(n).alias("part"), F.count("*").alias("n")) for n in ("postings", "term_stats", "field_stats", "ids")]
+    return reduce(DataFrame.unionByName, sizes)
 
 
 def vector_rows(spark, sf):
@@ -70,11 +90,24 @@ def pool(spark, sf):
     return fused(spark, sf).join(snippets(spark, sf), "id")
 
 
+def windows(rows, text, sizes):
+    """``rows`` with ``w``, the hash of every run of so many words of ``text`` (and of how many), each once."""
+    def runs(words: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    found = X.let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: F.array_distinct(F.concat(*[runs(words, n) for n in sizes])))
+    return rows.select(*rows.columns, F.explode(found).alias("w"))
+
+
 def judgements(spark, sf):
-    """The first words find the documents by an index join; the 60 characters decide."""
-    docs = documents(spark, sf).select("id", "code")
-    start = items(spark, sf).withColumn("start", F.substring("query", 1, PREFIX))
-    hits = docs.join(F.broadcast(start.filter(F.length("start") > 0)), F.expr("contains(code, start)"))  # the items, a fixed set
+    """Documents by the windows of the items that they hold: a join of hashes, of whole texts on both sides."""
+    asked = items(spark, sf).withColumn("n", F.least(F.lit(WINDOW), F.size(F.regexp_extract_all("query", F.lit(WORD), F.lit(0))))).filter("n > 0")
+    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # WINDOW numbers at most
+    wanted = [windows(asked.filter(F.col("n") == n), F.col("query"), [n]) for n in sizes] or [asked.withColumn("w", F.lit(0).cast("long"))]
+    wanted = reduce(DataFrame.unionByName, wanted).select("query_id", "w")
+    docs = windows(documents(spark, sf).select("id", "code"), F.col("code"), sizes or [WINDOW]).select("id", "w")
+    hits = docs.join(wanted, "w").select("query_id", "id").distinct()
     labels = read(spark, sf, "labels").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("quality").alias("quality"))
     return hits.join(labels, "id", "left").select("query_id", "id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade"))
 
@@ -102,9 +135,9 @@ def bm25_topk(spark, sf):
 
 
 def bm25_zero_fill(spark, sf):
-    """A list longer than the corpus has matches: every document with a token comes, most with nothing."""
-    first = items(spark, sf).withColumn("query", F.regexp_extract("query", r"(\w+)\W*$", 1))
-    return lexical.bm25_search(first, index(spark, sf), CODE, n=700)
+    """Lists as long as there are documents with a token: every one of them comes, those without a match with nothing."""
+    own = index(spark, sf)
+    return lexical.bm25_search(items(spark, sf), own, CODE, n=own.ids.count())
 
 
 def vector_norms(spark, sf):
@@ -211,13 +244,85 @@ def rerank_scores(spark, sf):
 
 
 def hash_embed(spark, sf):
+    """A digest of every vector, its values to six decimals."""
     out = vectors.hash_encode(documents(spark, sf).select("id", F.col("code").alias("text")))
-    return out.select("id", F.round(vectors.norm(F.col("vector")), 6).alias("norm"), F.size("vector").alias("dimensions"))
+    values = F.transform("vector", lambda x: F.format_number(x + 0.0, 6))
+    return out.select("id", F.size("vector").alias("dimensions"), F.md5(F.array_join(values, ",")).alias("digest"))
+
+
+def hash_cells(spark, sf):
+    """The cells of every vector that are not zero, with MD5 as the hash."""
+    out = vectors.hash_encode(documents(spark, sf).select("id", F.col("code").alias("text")), digest="md5")
+    return out.select("id", F.posexplode("vector").alias("cell", "v")).filter("v <> 0").select("id", "cell", F.round("v", 6).alias("value"))
+
+
+SHAPES = [".py", ".ts", ".java", ".go", ".xyz"]
+
+
+def code_files(spark, sf):
+    """Documents in the shape of source files: lines of code around the text, in a language by number."""
+    docs = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in SHAPES]), (F.col("doc_id") % len(SHAPES) + 1).cast("int"))
+    code = F.concat(F.lit("import a.b;\n# note\n// remark\n@Inject\nfunction f"), "doc_id", F.lit("() {\n"), "text", F.lit("\n}\n  @Bean\n@Other\nclass C"), "doc_id", F.lit(" {\n}"))
+    return docs.select("doc_id", F.concat(F.lit("src/f"), "doc_id", suffix).alias("file_path"), code.alias("code"))
 
 
 def chunk_documents(spark, sf):
-    files = documents(spark, sf).select(F.concat("id", F.lit(".xyz")).alias("file_path"), "code")
-    return chunking.chunk_sources(files).select("file_path", "id", "snippet_type", "function_name", "start_line", "end_line")
+    out = chunking.chunk_sources(code_files(spark, sf).select("file_path", "code"))
+    return out.select("file_path", "snippet_type", "function_name", "start_line", "end_line", F.md5("code").alias("code_md5"))
+
+
+def code_marks(spark, sf):
+    """Imports, annotations and comments among the lines of source files, by language."""
+    files = code_files(spark, sf).withColumn("language", chunking.infer_language(F.col("file_path")))
+    found = {n: F.array_join(f(F.col("code"), F.col("language")), "|") for n, f in (("imports", chunking.imports), ("decorators", chunking.decorators), ("comments", chunking.comments))}
+    return files.select("doc_id", "language", *[F.md5(c).alias(n) for n, c in found.items()])
+
+
+def coded_items(spark, sf):
+    """Distinct identifiers of a text that look like code."""
+    found = documents(spark, sf).select("id", X.extract_identifiers(F.col("code")).alias("x"))
+    return found.select("id", F.size("x").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("x"), " ")).alias("items"))
+
+
+def phrase_match(spark, sf):
+    """Anchor phrases in texts to which one is added by number."""
+    known = F.array(*[F.lit(x) for x in V.TECHNICAL_PHRASES])
+    docs = read(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(known, (F.col("doc_id") % len(V.TECHNICAL_PHRASES) + 1).cast("int"))).alias("q"))
+    return docs.select("doc_id", F.array_join(X.technical_phrases(F.col("q")), "|").alias("phrases"))
+
+
+def keyword_count(spark, sf):
+    """Distinct keywords of a text: tokens of two characters or more that are no stopwords, and programming terms."""
+    tokens = documents(spark, sf).select("id", X.tokenize(F.col("code")).alias("t"))
+    kept = F.filter("t", lambda x: ((F.length(x) > 1) & ~x.isin(*V.STOPWORDS)) | x.isin(*PROGRAMMING_TERMS))
+    return tokens.select("id", F.size(F.array_distinct(kept)).cast("long").alias("n"))
+
+
+ASIDES = [" validate jwt token expiration in AuthService", " database connection pool DB_URL query", " unit tests assertion", " api request payload for the python endpoint", " parse_config(x) yaml in java"]
+
+
+def asides(spark, sf):
+    """Items to which words with an intent are added by number."""
+    added = F.element_at(F.array(*[F.lit(x) for x in ASIDES]), (F.col("item_id") % len(ASIDES) + 1).cast("int"))
+    return read(spark, sf, "benchmark").select("item_id", F.concat(F.coalesce("text", F.lit("")), added).alias("query"))
+
+
+def intent_scores(spark, sf):
+    q = F.col("query")
+    rows = asides(spark, sf).select("item_id", X.tokenize(q).alias("t"), X.squeeze(q).alias("s"), X.extract_identifiers(q).alias("i"))
+    scores = F.array(*[F.struct(F.lit(n).alias("intent"), intent_score(n, F.col("t"), F.col("s"), F.col("i")).alias("score")) for n in V.INTENTS])
+    return rows.select("item_id", F.inline(scores))
+
+
+def language_hints(spark, sf):
+    out = understand(asides(spark, sf))
+    return out.select("item_id", F.array_join(F.array_sort("language_hints"), " ").alias("hints"))
+
+
+def semantic_texts(spark, sf):
+    rows = snippets(spark, sf)
+    return rows.select("id", F.md5(vectors.snippet_text(rows)).alias("text_md5"))
 
 
 def engine_search(spark, sf):
@@ -228,7 +333,8 @@ def engine_search(spark, sf):
 QUERIES = {f.__name__: f for f in (
     token_stats, identifier_split, postings_df_idf, field_avgdl, bm25_topk, bm25_zero_fill, vector_norms, minmax_normalize, rrf_fusion, weighted_fusion, metadata_filter,
     latest_version, version_order, hybrid_search, hybrid_filtered, query_metrics, eval_summary, ablation, version_intent, snippet_ids, qrels_integrity, prediction_validation, judged,
-    understanding, rerank_scores, hash_embed, chunk_documents, engine_search)} | {"dense_topk": semantic_run}
+    understanding, rerank_scores, hash_embed, hash_cells, chunk_documents, engine_search, build_index, code_marks, coded_items, phrase_match, keyword_count, intent_scores,
+    language_hints, semantic_texts)} | {"dense_topk": semantic_run}
 
 # --- the same in SQL, put together from named steps ---
 
@@ -243,7 +349,7 @@ def _tokens(x: str) -> str:
     return f"flatten(list_transform(regexp_extract_all({x}, '{IDENT}'), lambda i: list_concat([lower(i)], {_parts('i')})))"
 
 
-def _scores(query: str = "text", n: int = 100) -> str:
+def _scores(query: str = "text", n: int | str = 100) -> str:
     return f"""
 docs AS (SELECT doc_id::VARCHAR AS id, {_tokens("coalesce(text, '')")} AS t FROM documents),
 posts AS (SELECT id, term, len(t) AS dl, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM docs) GROUP BY id, term, len(t)),
@@ -276,9 +382,13 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 snip AS (SELECT doc_id, doc_id::VARCHAR AS id, lang AS language, source AS repository, 'v' || (doc_id % 3 + 1) AS version, 'f' || (doc_id // 3) AS function_name FROM documents)"""
 
 
-QRELS = f"""qrels AS (SELECT item_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS id, 1.0 + coalesce(q, 0) AS grade
-  FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, substr(b.text, 1, {PREFIX}))
-  LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id))"""
+QRELS = f"""item_words AS (SELECT item_id::VARCHAR AS query_id, regexp_extract_all(text, '{WORD}') AS w FROM benchmark),
+item_windows AS (SELECT query_id, least({WINDOW}, len(w)) AS n, array_to_string(w[i : i + least({WINDOW}, len(w)) - 1], ' ') AS g
+  FROM (SELECT query_id, w, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+doc_windows AS (SELECT DISTINCT id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (
+  SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT doc_id::VARCHAR AS id, regexp_extract_all(text, '{WORD}') AS w FROM documents), (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+qrels AS (SELECT query_id, id, 1.0 + coalesce(q, 0) AS grade
+  FROM (SELECT DISTINCT query_id, id FROM doc_windows JOIN item_windows USING (n, g)) LEFT JOIN (SELECT doc_id::VARCHAR AS id, max(quality) AS q FROM labels GROUP BY 1) USING (id))"""
 
 
 def _metrics(run: str) -> str:
@@ -291,7 +401,42 @@ def _metrics(run: str) -> str:
 
 _MEANS = "round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg, round(avg(recall_5), 9) AS recall_5, round(avg(recall_k), 9) AS recall_k"
 _LATEST = "row_number() OVER (PARTITION BY query_id, repository, function_name ORDER BY version DESC, pool_rank DESC)"
-_LAST_WORD = r"regexp_extract(text, '(\w+)\W*$', 1)"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _by_number(column: str, values) -> str:
+    return f"{_list(values)}[{column} % {len(values)} + 1]"
+
+
+def _coded(x: str) -> str:
+    return (f"list_distinct(list_filter(regexp_extract_all({x}, '{IDENT}'), lambda i: regexp_matches(i, '[-_$./:]') OR regexp_matches(i, '[a-z][A-Z]') "
+            "OR (length(i) > 1 AND regexp_matches(i, '^[A-Z]'))))")
+
+
+def _squeeze(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+
+
+def _has(x: str, phrase: str) -> str:
+    return f"regexp_matches({x}, '(^|[^a-z0-9_]){phrase}($|[^a-z0-9_])')"
+
+
+def _intent(name: str) -> str:
+    rule = V.INTENTS[name]
+    parts = [f"1.0 * len(list_intersect({_list(rule.get('for', ['-']))}, t))", f"- 1.25 * len(list_intersect({_list(rule.get('against', ['-']))}, t))"]
+    parts += [f"+ CASE WHEN {_has('s', p)} THEN 3.0 ELSE 0.0 END" for p in rule.get("phrases", ())]
+    parts += [f"+ CASE WHEN regexp_matches(concat_ws(' ', array_to_string(i, ' '), s), '(?i){p}') THEN 2.0 ELSE 0.0 END" for p in rule.get("patterns", ())]
+    return f"SELECT item_id, '{name}' AS intent, greatest(0.0, {' '.join(parts)})::DOUBLE AS score FROM r"
+
+
+_ASIDE = f"""asked AS (SELECT item_id, coalesce(text, '') || {_by_number('item_id', ASIDES)} AS q FROM benchmark)"""
+_FILES = f"""files AS (SELECT doc_id, 'src/f' || doc_id || {_by_number('doc_id', SHAPES)} AS file_path, {_by_number('doc_id', ['python', 'typescript', 'java', 'go', 'unknown'])} AS language,
+  'import a.b;' || chr(10) || '# note' || chr(10) || '// remark' || chr(10) || '@Inject' || chr(10) || 'function f' || doc_id || '() {{' || chr(10) || coalesce(text, '') || chr(10) || '}}' || chr(10)
+  || '  @Bean' || chr(10) || '@Other' || chr(10) || 'class C' || doc_id || ' {{' || chr(10) || '}}' AS code FROM documents)"""
+_LINES = r"regexp_split_to_array(code, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
 
 ORACLES = {
     "token_stats": f"SELECT doc_id::VARCHAR AS id, len(t) AS tokens, len(list_distinct(t)) AS terms FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
@@ -300,7 +445,9 @@ ORACLES = {
     "field_avgdl": f"""WITH d AS (SELECT {_tokens('text')} AS c, {_tokens("'f' || (doc_id // 3)")} AS f FROM documents)
       SELECT 'code' AS field, count(*) AS n, round(sum(len(c)) / count(*), 9) AS avgdl FROM d UNION ALL SELECT 'function_name', count(*), round(sum(len(f)) / count(*), 9) FROM d""",
     "bm25_topk": f"WITH {_scores()} SELECT query_id, id, score, rank::INT AS rank FROM lex",
-    "bm25_zero_fill": f"WITH {_scores(_LAST_WORD, 700)} SELECT query_id, id, score, rank::INT AS rank FROM lex",
+    "build_index": f"""WITH {_scores()} SELECT 'postings' AS part, count(*) AS n FROM posts UNION ALL SELECT 'term_stats', count(*) FROM idf UNION ALL SELECT 'field_stats', 1
+      UNION ALL SELECT 'ids', count(*) FROM docs WHERE len(t) > 0""",
+    "bm25_zero_fill": f"WITH {_scores(n='(SELECT count(*) FROM docs WHERE len(t) > 0)')} SELECT query_id, id, score, rank::INT AS rank FROM lex",
     "dense_topk": f"WITH {SEM} SELECT query_id, id, score, rank::INT AS rank FROM sem",
     "vector_norms": "SELECT vec_id::VARCHAR AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
     "minmax_normalize": f"WITH {_scores()} SELECT query_id, id, round(s, 6) AS normalized FROM {_minmax('lex')}",
@@ -333,4 +480,33 @@ ORACLES = {
     "prediction_validation": f"""WITH {_scores()} SELECT 'too many documents' AS problem, count(*) AS n FROM (SELECT 1 FROM lex WHERE rank <= 12 GROUP BY query_id HAVING count(*) > 10)
       UNION ALL SELECT 'unknown document', count(*) FROM lex WHERE rank = 5 UNION ALL SELECT 'score is not a finite number', count(*) FROM lex WHERE rank = 7""",
     "judged": f"WITH {QRELS} SELECT DISTINCT query_id FROM qrels",
+    "coded_items": f"SELECT id, len(x) AS n, md5(array_to_string(list_sort(x), ' ')) AS items FROM (SELECT doc_id::VARCHAR AS id, {_coded("coalesce(text, '')")} AS x FROM documents)",
+    "phrase_match": f"""WITH q AS (SELECT doc_id, {_squeeze("coalesce(text, '') || ' ' || " + _by_number('doc_id', V.TECHNICAL_PHRASES))} AS s FROM documents)
+      SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {_has('s', p)} THEN '{p}' END" for p in sorted(V.TECHNICAL_PHRASES, key=len, reverse=True))}], lambda x: x IS NOT NULL), '|') AS phrases FROM q""",
+    "keyword_count": f"""SELECT doc_id::VARCHAR AS id, len(list_distinct(list_filter({_tokens("coalesce(text, '')")}, lambda x: (length(x) > 1 AND NOT list_contains({_list(V.STOPWORDS)}, x))
+      OR list_contains({_list(PROGRAMMING_TERMS)}, x)))) AS n FROM documents""",
+    "intent_scores": f"WITH {_ASIDE}, r AS (SELECT item_id, {_tokens('q')} AS t, {_squeeze('q')} AS s, {_coded('q')} AS i FROM asked) " + " UNION ALL ".join(map(_intent, V.INTENTS)),
+    "language_hints": f"""WITH {_ASIDE}, names AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in V.LANGUAGE_TERMS.items())}) v(token, hint)),
+      found AS (SELECT item_id, string_agg(DISTINCT hint, ' ' ORDER BY hint) AS hints FROM (SELECT item_id, unnest({_tokens('q')}) AS token FROM asked) JOIN names USING (token) GROUP BY item_id)
+      SELECT item_id, coalesce(hints, '') AS hints FROM asked LEFT JOIN found USING (item_id)""",
+    "semantic_texts": "SELECT doc_id::VARCHAR AS id, md5(concat_ws(chr(10), 'f' || (doc_id // 3), nullif(text, ''))) AS text_md5 FROM documents",
+    "code_marks": rf"""WITH {_FILES}, l AS (SELECT doc_id, language, list_transform(string_split(code, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS x FROM files)
+      SELECT doc_id, language,
+        md5(array_to_string(list_filter(x, lambda y: CASE language WHEN 'python' THEN starts_with(y, 'import ') OR starts_with(y, 'from ') WHEN 'typescript' THEN starts_with(y, 'import ') OR (starts_with(y, 'const ') AND contains(y, 'require(')) WHEN 'java' THEN starts_with(y, 'import ') ELSE false END), '|')) AS imports,
+        md5(array_to_string(list_filter(x, lambda y: language IN ('python', 'typescript', 'java') AND starts_with(y, '@') AND length(y) > 1), '|')) AS decorators,
+        md5(array_to_string(list_filter(x, lambda y: CASE WHEN language = 'python' THEN starts_with(y, '#') WHEN language IN ('typescript', 'java') THEN starts_with(y, '//') OR starts_with(y, '/*') OR starts_with(y, '*')
+          ELSE starts_with(y, '#') OR starts_with(y, '//') END), '|')) AS comments FROM l""",
+    "hash_cells": f"""WITH t AS (SELECT doc_id::VARCHAR AS id, unnest({_tokens("coalesce(text, '')")}) AS t FROM documents),
+      f AS (SELECT id, unnest([t, substr(t, 1, 4), right(t, 4)]) AS feature FROM t),
+      c AS (SELECT id, md5(feature) AS h, count(*) AS n FROM f GROUP BY id, feature),
+      cells AS (SELECT id, (('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::UBIGINT % 384)::INT AS cell,
+        sum(CASE WHEN substr(h, 10, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN n ELSE -n END)::DOUBLE AS v FROM c GROUP BY ALL)
+      SELECT id, cell, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12), 6) AS value FROM cells WHERE v <> 0""",
+    "chunk_documents": f"""WITH {_FILES}, l AS (SELECT file_path, x, len(x) AS n, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT file_path, {_LINES} AS x FROM files WHERE language <> 'python')),
+      m AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(line, '{p}') THEN '{kind}'" for p, kind in chunking.DECLARATIONS)} END AS kind,
+        CASE {' '.join(f"WHEN regexp_matches(line, '{p}') THEN regexp_extract(line, '{p}', 1)" for p, _ in chunking.DECLARATIONS)} END AS name,
+        coalesce(max(CASE WHEN NOT starts_with(trim(line), '@') THEN i END) OVER (PARTITION BY file_path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM l),
+      h AS (SELECT *, coalesce(lead(above) OVER (PARTITION BY file_path ORDER BY i), n) AS stop FROM m WHERE kind IS NOT NULL)
+      SELECT file_path, kind AS snippet_type, name AS function_name, above + 1 AS start_line, greatest(above + 1, stop) AS end_line, md5(array_to_string(x[above + 1 : stop], chr(10))) AS code_md5 FROM h
+      UNION ALL SELECT file_path, 'module', '', 1, len(string_split(code, chr(10))), md5(code) FROM files WHERE language = 'python'""",
 }

@@ -148,3 +148,30 @@ PREPROCESSING_TERMS = ('preprocess', 'preprocessing', 'preprocessed', 'normalize
 STOPWORDS = ['a', 'an', 'and', 'are', 'as', 'at', 'be', 'before', 'by', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or',
  'the', 'to', 'was', 'were', 'which', 'where', 'with', 'this', 'that', 'does', 'do', 'did', 'then', 'into', 'than',
  'via', 'who']
+
+# What the expansion rules look at.
+CONTEXT = {
+    'preprocessing': ['input', 'data', 'field', 'fields', 'form', 'forms', 'payload', 'value', 'values', 'record', 'records',
+        'row', 'rows', 'text', 'string', 'request', 'keys', 'tags'],
+    'testing': ['test', 'tests', 'testing', 'assert', 'assertion', 'unit', 'fixture', 'mock'],
+    'auth': ['jwt', 'bearer', 'authentication', 'authorization', 'authenticate', 'login', 'credential', 'session'],
+    'token_use': ['validate', 'validation', 'expire', 'expiration', 'refresh', 'access'],
+    'database': ['database', 'db', 'sql', 'jdbc', 'orm', 'datasource', 'transaction'],
+    'pool': ['connection', 'pool'],
+    'statement': ['insert', 'select'],
+    'duplicates': ['duplicate', 'duplicates', 'deduplicate', 'deduplication', 'unique', 'distinct'],
+    'error': ['error', 'errors', 'exception', 'exceptions', 'failure', 'failures', 'failed'],
+    'recovery': ['fallback', 'recovery'],
+    'retried': ['network', 'request', 'connection', 'database'],
+    'api': ['api', 'endpoint', 'http', 'rest', 'graphql', 'route', 'payload', 'response', 'request'],
+    'not_api': ['jwt', 'token', 'bearer', 'authentication', 'authorization', 'session', 'test', 'tests', 'testing', 'assert',
+        'assertion', 'unit', 'fixture', 'mock', 'preprocess', 'preprocessing', 'normalize', 'normalization', 'normalized',
+        'clean', 'cleaned', 'sanitize', 'transform', 'trim', 'standardize', 'database', 'db', 'sql', 'transaction',
+        'connection', 'query'],
+}
+
+# Phrases of a preprocessing query.
+PREPROCESSING_PHRASES = [
+    'input normalization', 'normalize input', 'normalized input', 'clean input', 'preprocess input', 'sanitize input',
+    'transform input', 'prepare input', 'trim input', 'standardize data', 'form fields', 'duplicate tags',
+]
