@@ -1,8 +1,10 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A linear classifier gives each block a score; what a wrong label would cost (the
-logistic loss of either label) becomes its capacities to the two terminals. Edges between a block and its neighbours, on the page
-and in the tree, carry what it costs to label the two unlike. The maximum flow's cut is the cheapest labelling.
+A page becomes a row of text blocks. A linear classifier scores a block by its own words, links and tag, and a container (an
+element whose tag, class or role says what it is for) by that alone. What a wrong label would cost, the logistic loss of a score,
+becomes capacities to the two terminals; a container's count for each of its blocks. Edges between a block and its container, and
+between blocks that are near each other on the page and in the tree, carry what it costs to label the two unlike. The maximum
+flow's cut is the cheapest labelling: it takes prose out of a box of comments, and a short line into an article.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ SILENT = frozenset("head script style noscript template iframe object svg math c
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html article section div main".split())
 END_P = BLOCK - {"body", "html", "head", "caption", "option", "optgroup", "legend", "tbody", "td", "tfoot", "th", "thead", "tr", "summary", "figcaption"}
-TAG_CUES = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -8.0, "article": 4.0, "main": 2.0}
+BAD, GOOD = -3.5, 2.0  # scores of containers
+TAG_CUES = dict.fromkeys(["nav", "footer", "aside", "form", "menu", "dialog", "fieldset"], BAD) | {"article": GOOD, "main": GOOD / 2}
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar widget widgets "
@@ -39,18 +42,21 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article content main post story entry body text prose".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 BOILER_TEXT = re.compile(r"©|\b(?:all rights reserved|cookies?|newsletter|subscribe|sign up|log in|advertisement|sponsored|privacy policy)\b", re.I)
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 ENDS_SENTENCE = re.compile(r"[.!?:;…。！？][\"'»”’)\]]*$")
-BLOCK_TAGS = {"p": 0.8, "blockquote": 0.8, "pre": 0.8, "h1": 0.5, "h2": 0.5, "h3": 0.5, "h4": 0.3, "h5": 0.3, "h6": 0.3, "li": -0.5, "td": -0.5, "th": -0.5}
-SMOOTH_SIBLING, SMOOTH_COUSIN, SMOOTH_ADJACENT = 1.0, 0.5, 0.15
+BLOCK_TAGS = {"p": 1.5, "blockquote": 1.0, "pre": 1.0, "h1": 1.2, "h2": 1.2, "h3": 1.2, "h4": 1.0, "h5": 1.0, "h6": 1.0, "li": -0.5, "td": -0.5, "th": -0.5}
+SMOOTH_CONTAINER, SMOOTH_SIBLING, SMOOTH_COUSIN, SMOOTH_ADJACENT = 3.5, 0.4, 0.2, 0.1
 UNIT = 1000  # capacities are whole numbers of 1 / UNIT
 
 
 class _Blocks(HTMLParser):
-    """Text blocks of a page: (text, words, words in links, tag, cue of all ancestors, parent, grandparent)."""
+    """Text blocks of a page: (text, words, words in links, tag, container, parent, grandparent), and the scores of the containers;
+    the first of these stands for the page and says nothing."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [("", 0.0, 0, False, False)]  # tag, cue so far, number, silent, in an article
+        self.stack = [("", 0, 0, False, False)]  # tag, innermost container, number, silent, in an article
+        self.containers = [0.0]
         self.open: Counter[str] = Counter()
         self.n, self.silent, self.links = 0, 0, 0
         self.blocks: list[tuple] = []
@@ -89,28 +95,33 @@ class _Blocks(HTMLParser):
             self._flush()
         if tag in VOID:
             return
+        if tag not in IN_HEAD and self.stack[-1][0] == "head":
+            self._pop()  # its end tag may be left out
         if tag in END_P and self.open["p"]:
             self._close_to({"p"})
         if tag in ENDS:
             self._close_to(ENDS[tag])
-        cue, article = self.stack[-1][1], self.stack[-1][4] or tag == "article"
-        cue += TAG_CUES.get(tag, 0.0)
+        inside, article = self.stack[-1][1], self.stack[-1][4] or tag == "article"
+        cue = TAG_CUES.get(tag, 0.0)
         if tag == "header" and not article:
-            cue -= 8.0
+            cue += BAD
         silent = tag in SILENT
         for name, value in attrs:
             if name in ("class", "id"):
                 names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value or "").lower()))
                 if names & BAD_WORDS and tag not in ("html", "body", "article", "main"):
-                    cue -= 8.0
+                    cue += BAD
                 elif names & GOOD_WORDS and tag not in ("html", "body"):
-                    cue += 2.0
+                    cue += GOOD / 2
             elif name == "role":
-                cue += -8.0 if value in BAD_ROLES else 3.0 if value in ("main", "article") else 0.0
+                cue += BAD if value in BAD_ROLES else GOOD if value in ("main", "article") else 0.0
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or ""):
                 silent = True
         self.n += 1
-        self.stack.append((tag, cue, self.n, silent, article))
+        if cue < 0 or cue > 0 and self.containers[inside] >= 0:  # what is inside a box of something else stays so
+            inside = len(self.containers)
+            self.containers.append(max(2 * BAD, min(2 * GOOD, cue)))
+        self.stack.append((tag, inside, self.n, silent, article))
         self.open[tag] += 1
         self.silent += silent
         self.links += tag == "a"
@@ -142,12 +153,11 @@ class _Blocks(HTMLParser):
 
 
 def score(block: tuple) -> float:
-    """The classifier: above 0 where the block is more likely main text."""
-    text, words, linked, tag, cue, _, _ = block
+    """The classifier of blocks: above 0 where the block by itself is more likely main text."""
+    text, words, linked, tag = block[:4]
     s = -1.5 + 0.6 * min(math.log1p(words), 4.0) + BLOCK_TAGS.get(tag, 0.0) - 4.0 * linked / words
     s += 0.7 if ENDS_SENTENCE.search(text) else 0.0
-    s -= 2.0 if words < 30 and BOILER_TEXT.search(text) else 0.0
-    return s + max(-12.0, min(5.0, cue))
+    return s - (2.0 if words < 30 and BOILER_TEXT.search(text) else 0.0)
 
 
 class MaxFlow:
@@ -257,16 +267,30 @@ def label(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool
     return [i in side for i in range(n)]
 
 
+def parsed(html: str) -> tuple[list[tuple], list[float]]:
+    """The blocks of a page and the scores of its containers."""
+    parser = _Blocks()
+    parser.feed(html)
+    parser.close()
+    return parser.blocks, parser.containers
+
+
+def graph(blocks: list[tuple], containers: list[float]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Scores and edges of all nodes: the blocks, then the containers that hold any."""
+    held = Counter(b[4] for b in blocks)
+    node = {c: len(blocks) + k for k, c in enumerate(c for c in held if containers[c])}
+    edges = links(blocks)
+    edges |= {(i, node[b[4]]): SMOOTH_CONTAINER for i, b in enumerate(blocks) if b[4] in node}
+    return [*map(score, blocks), *(containers[c] * held[c] for c in node)], edges
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: its blocks, white space inside them single, joined by line breaks."""
     if not html:
         return ""
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    blocks = parser.blocks
-    keep = label([score(b) for b in blocks], links(blocks))
-    return "\n".join(b[0] for b, k in zip(blocks, keep, strict=True) if k)
+    blocks, containers = parsed(html)
+    keep = label(*graph(blocks, containers))
+    return "\n".join(b[0] for b, k in zip(blocks, keep, strict=False) if k)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -476,3 +476,62 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             clean[i] = hashlib.sha256(lines[i].encode()).hexdigest()
     got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == clean and json.dumps(sorted(got))
+
+
+def test_html_cut_decides(spark):
+    """Short lines go into an article and prose out of a box of comments, against their own scores; the cut is the cheapest of all labellings."""
+    page = ('<html><head><title>x</title><body><article><h1>A</h1><p>Hi</p><div class="comments"><p>This is a long and well written comment, with many words, '
+            'that nobody wants to have.</p><p>And this is another one, somewhat shorter.</p></div></article><nav><a href="x">Home</a></nav></body></html>')
+    blocks, containers = html_extract.parsed(page)
+    scores, edges = html_extract.graph(blocks, containers)
+    keep = html_extract.label(scores, edges)
+    assert [b[0] for b, k in zip(blocks, keep) if k] == ["A", "Hi"]
+    assert sum((s > 0) != k for s, k in zip(scores[: len(blocks)], keep)) == 2
+
+    def cost(labels):
+        loss = sum(html_extract._loss(-s if k else s) for s, k in zip(scores, labels))
+        return loss + sum(round(html_extract.UNIT * w) for (u, v), w in edges.items() if labels[u] != labels[v])
+
+    least = min(cost([bool(m >> i & 1) for i in range(len(scores))]) for m in range(1 << len(scores)))
+    assert cost(keep) == least
+
+
+def test_html_rows(spark):
+    """No rows, repeated rows, null and empty pages, pages without an end of the head, clashing columns."""
+    schema = "page_id long, html string, text string, n_chars string"
+    assert html_extract.extract_text(spark.createDataFrame([], schema)).collect() == []
+    data = [(1, "<p>Short note</p>"), (1, "<p>Short note</p>"), (2, None), (3, ""), (4, "<head><title>t</title><body><p>No end of the head.</p>"), (5, "plain &amp; simple words, in one line.")]
+    out = html_extract.extract_text(spark.createDataFrame([(i, h, "a", "b") for i, h in data], schema)).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out) == [
+        (1, "Short note", 10), (1, "Short note", 10), (2, "", 0), (3, "", 0), (4, "No end of the head.", 19), (5, "plain & simple words, in one line.", 34)]
+
+
+def test_jaccard_signatures_lose_no_link(spark):
+    """Linked sets of every small size and many large ones share a signature, at the least overlap that links them too."""
+    r = np.random.default_rng(7)
+    for n in [*range(1, 41), 75, 150, 400]:
+        for _ in range(1500 if n < 15 else 60):
+            m = n + int(r.integers(0, n // 5 + 1))
+            least = jaccard_join.need(n, m, 85)
+            if least > n:
+                continue
+            k = least if r.random() < 0.7 else int(r.integers(least, n + 1))
+            tokens = r.integers(0, 2**64 - 1, n + m, dtype=np.uint64)
+            a, b = np.unique(tokens[:n]), np.unique(np.concatenate([tokens[:k], tokens[n:n + m - k]]))
+            assert len(np.intersect1d(jaccard_join.signatures(a, 85), jaccard_join.signatures(b, 85))), (n, m, k)
+    text = "w937669 w68696 w918208 w569068 w25831 w82942 w783103 w950427 w605814"
+    rows = spark.createDataFrame([(1, text), (2, text + " w876211"), (3, "other words")], "doc_id long, text string")
+    assert {x["key"]: x["component"] for x in jaccard_join.jaccard_classes(rows).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_jaccard_leaves_nothing_behind(spark):
+    """Tables and folders of the steps go; what the result reads stays."""
+    before = {t.name for t in spark.catalog.listTables()}
+    out = jaccard_join.jaccard_classes(spark.createDataFrame([(i, f"some words that are the same {i // 2}") for i in range(8)], "doc_id long, text string"))
+    assert out.count() == 8 and {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_shard_numbers_do_not_overflow():
+    """The number of a shard holds any task and as many shards of it as a task can write."""
+    part, shard = 2**31 - 1, 2**32 - 1
+    assert token_table.MANIFEST.startswith("part long") and 0 < (part << 32) + shard < 2**63
