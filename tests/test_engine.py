@@ -136,11 +136,11 @@ def test_python_chunks(spark):
 
 
 def test_generic_chunks(spark):
-    files = [("a.js", "x\n@Inject\nfunction listOrders() {\n}\nclass B {\n}"), ("b.js", "no\ndeclaration\n"), ("c.js", ""), ("d.js", None), ("e.ts", "@A\r\n @B\r\nconst go = (x) => x\r\nclass Ünit {}")]
+    files = [("a.js", "x\n@Inject\nfunction listOrders() {\n}\nclass B {\n}"), ("b.js", "no\ndeclaration\n"), ("c.js", ""), ("d.js", None), ("e.ts", "@A\r\n @B\r\nconst go = (x) => x\r\nclass_ Ünit {}")]
     out = chunking.chunk_sources(spark.createDataFrame(files, "file_path string, code string")).orderBy("file_path", "start_line").collect()
     assert [(r["file_path"], r["snippet_type"], r["function_name"], r["start_line"], r["end_line"]) for r in out] == [
         ("a.js", "function", "listOrders", 2, 4), ("a.js", "class", "B", 5, 6), ("b.js", "module", "", 1, 2), ("c.js", "module", "", 1, 1), ("d.js", "module", "", 1, 1),
-        ("e.ts", "function", "go", 1, 3)]
+        ("e.ts", "function", "go", 1, 4)]
     assert out[0]["code"] == "@Inject\nfunction listOrders() {\n}" and out[2]["code"] == "no\ndeclaration\n"
 
 
