@@ -24,15 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankweave.llm.common import body, discard, materialize, part_batches, shuffle_partitions, table, write_by_part
+from rankweave.llm.common import body, discard, give_back, materialize, part_batches, shuffle_partitions, table, write_by_part
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The fold looks at every pair of a piece for every merge; longer pieces go through a heap instead, with the same result.
 FOLD_BYTES = 256
 BUCKETS = 65536
 GATHER = 300_000  # distinct words that a task holds before it hands their pieces on
-KEEP = 150_000  # distinct words whose ids a task keeps
-SLICE_BYTES = 8 << 20  # of text that is cut at once; a longer text alone
+KEEP = 120_000  # distinct words whose ids a task keeps
+SLICE_BYTES = 6 << 20  # of text that is cut at once; a longer text alone
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -203,6 +203,7 @@ def piece_dictionaries(docs: DataFrame, ranks: dict[bytes, int], pattern: str, t
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         scan, cut = TaskContext.get().partitionId(), cutter(pattern)
         held: set[str] = set()
 
@@ -254,6 +255,7 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         known, cut = _dictionary(folder, TaskContext.get().partitionId()), cutter(pattern)
         names = [b""] * (max(shared.value.values()) + 1)
         for token, rank in shared.value.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -33,7 +35,8 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
 
 @contextmanager
 def shuffles_end(spark: SparkSession):
-    """Inside, the shuffle files of a query go when it ends, not when the driver's garbage is collected."""
+    """Inside, the shuffle files of a query go when it ends. After it the driver's garbage is collected, as Spark drops the
+    broadcasts and plans of past steps from the executors only when nothing on the driver refers to them."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")
@@ -41,6 +44,8 @@ def shuffles_end(spark: SparkSession):
         yield
     finally:
         spark.conf.set(name, before)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 #: What the innermost ``scratch`` is to delete: folders and tables.
@@ -106,6 +111,15 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """In a task: hand memory that earlier tasks of this worker have freed back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
