@@ -29,7 +29,7 @@ from rankweave.llm.common import body, discard, give_back, materialize, part_bat
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The fold looks at every pair of a piece for every merge; longer pieces go through a heap instead, with the same result.
 FOLD_BYTES = 256
-BUCKETS = 65536
+BUCKETS = 1 << 14  # some three tokens each
 GATHER = 300_000  # distinct words that a task holds before it hands their pieces on
 KEEP = 120_000  # distinct words whose ids a task keeps
 SLICE_BYTES = 6 << 20  # of text that is cut at once; a longer text alone

@@ -37,15 +37,19 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
 def shuffles_end(spark: SparkSession):
     """Inside, the shuffle files of a query go when it ends. After it the driver's garbage is collected, as Spark drops the
     broadcasts and plans of past steps from the executors only when nothing on the driver refers to them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    # the length: a large literal of a plan would come whole into each of the plan's many descriptions
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "65536"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
+        give_back()
 
 
 #: What the innermost ``scratch`` is to delete: folders and tables.
@@ -112,7 +116,7 @@ def delete_dir(spark: SparkSession, path: str) -> None:
 
 
 def give_back() -> None:
-    """In a task: hand memory that earlier tasks of this worker have freed back to the system."""
+    """Hand memory that this Python process has freed back to the system: a worker what earlier tasks used, the driver a step's plans."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
