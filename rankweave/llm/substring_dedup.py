@@ -257,14 +257,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes, a null one is empty. Every byte goes that is in a string of THRESHOLD bytes which also starts in a
     document with a smaller id, as the documents were given. Rows that share an id are one document in this: none is
-    smaller than the other. Names have 64 bits and are compared in pairs of lengths.
+    smaller than the other. Names have 64 bits and are compared in pairs of lengths. A step's tables are deleted once they are read.
     """
     spark = docs.sparkSession
     n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
     own = docs.select(id_key(id_col).alias("k"), body(text_col).alias("text")).withColumn("x", F.xxhash64("text"))
     rows = materialize(own.select("k", "x", F.hash("text").alias("y"), F.octet_length("text").cast("long").alias("size")), "rows")
     classes = rows.filter(F.col("size") >= THRESHOLD).groupBy("x", "y", "size").agg(F.min("k").alias("first"), F.count("*").alias("n"))
-    placed = materialize(join_hot(rows, materialize(classes, "classes"), ["x", "y", "size"], "n", rows.count()).select("k", "x", "size", "first"), "placed")
+    classes = materialize(classes, "classes")
+    placed = materialize(join_hot(rows, classes, ["x", "y", "size"], "n", rows.count()).select("k", "x", "size", "first"), "placed")
+    discard(rows, classes)
     copies = placed.filter("k > first").select(F.col("k").alias("key"), F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     firsts = placed.filter("k = first").select("k", "x").distinct()
     texts = bucketed(own.join(firsts, ["k", "x"]).select("k", "text").repartition(n, "k"), n, ["k"], "texts")
@@ -288,37 +290,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = materialize(around, "around")
     discard(found)
     seen = materialize(around.groupBy("h", "cx").agg(F.min("k").alias("f"), F.count("*").alias("n")), "seen")
-    around = materialize(join_hot(around, seen, ["h", "cx"], "n", total), "placed")
-    discard(seen)
-    hits = [around.filter("k > f").select("k", "pos", F.lit(ALL).cast("long").alias("mask"))]
+    names_left = [F.when(F.col("k") == F.col("f"), F.col(c)).alias(c) for c in ("h", "before", "behind", "all_before", "all_behind")]  # a settled anchor needs none
+    split = join_hot(around, seen, ["h", "cx"], "n", total).select("k", "pos", (F.col("k") > F.col("f")).alias("settled"), *names_left)
+    split = materialize(split, "split")
+    discard(around, seen)
+    hits = [materialize(split.filter("settled").select("k", "pos", F.lit(ALL).cast("long").alias("mask")), "hits")]
 
     # 35 bytes before and behind, and where those are shared the 65 that hold all strings with them
-    open_ = around.filter("k = f").drop("f", "n", "cx")
     halves = []
     for bit, half, shifts in ((1, "before", range(HALF, REACH + 1)), (2, "behind", range(HALF + 1))):
-        several = open_.filter(f"{half} <> 0").select("h", half, "k", "pos", f"all_{half}")
-        several = join_hot(several, _shared(several, ["h", half]), ["h", half], "n", total).drop("f", "n")
-        several = materialize(several, "half")
-        whole = several.groupBy("h", f"all_{half}").agg(F.min("k").alias("f"), F.count("*").alias("n"))
-        several = join_hot(several, materialize(whole, "whole"), ["h", f"all_{half}"], "n", total)
+        several = split.filter(f"NOT settled AND {half} <> 0").select("h", half, "k", "pos", f"all_{half}")
+        shared = _shared(several, ["h", half])
+        several = materialize(join_hot(several, shared, ["h", half], "n", total).select("h", "k", "pos", f"all_{half}"), "half")
+        discard(shared)
+        whole = materialize(several.groupBy("h", f"all_{half}").agg(F.min("k").alias("f"), F.count("*").alias("n")), "whole")
         settled = (F.col(f"all_{half}") != 0) & (F.col("k") > F.col("f"))
-        several = materialize(several.select("h", "k", "pos", settled.alias("settled")), "half")
-        hits.append(several.filter("settled").select("k", "pos", F.lit(sum(1 << x for x in shifts)).cast("long").alias("mask")))
-        halves.append(several.filter("NOT settled").select("h", "k", "pos", F.lit(bit).alias("bit")))
-    halves = halves[0].unionByName(halves[1]).groupBy("h", "k", "pos").agg(F.bit_or("bit").alias("halves"))
+        told = materialize(join_hot(several, whole, ["h", f"all_{half}"], "n", total).select("h", "k", "pos", settled.alias("settled")), "half")
+        discard(several, whole)
+        hits.append(materialize(told.filter("settled").select("k", "pos", F.lit(sum(1 << x for x in shifts)).cast("long").alias("mask")), "hits"))
+        halves.append(materialize(told.filter("NOT settled").select("h", "k", "pos", F.lit(bit).alias("bit")), "half"))
+        discard(told)
+    discard(split)
+    both = halves[0].unionByName(halves[1]).groupBy("h", "k", "pos").agg(F.bit_or("bit").alias("halves"))
 
     # 50 bytes
-    members = materialize(halves.select("k", F.struct("pos", "h", "halves").alias("at")), "halves")
+    members = materialize(both.select("k", F.struct("pos", "h", "halves").alias("at")), "halves")
+    discard(*halves)
     strings = with_texts(members).mapInArrow(_name_strings, "name long, k long, at long")
     again = strings.withColumn("f", F.min("k").over(Window.partitionBy("name"))).filter("k > f")
     again = again.groupBy("k", F.floor(F.col("at") / (REACH + 1)).cast("int").alias("pos")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(at % {REACH + 1} AS int))")).alias("mask"))
     again = materialize(again, "again")
     discard(members)
-    hits = materialize(reduce(DataFrame.unionByName, hits, again).groupBy("k").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")), "hits")
-    discard(around, again)
+    of_text = materialize(reduce(DataFrame.unionByName, hits, again).groupBy("k").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")), "hits")
+    discard(again, *hits)
 
     listed = F.coalesce("hits", F.array().cast("array<struct<pos:int,mask:long>>"))
-    cut = texts.join(hits, "k", "left").select("k", "text", listed.alias("hits")).mapInArrow(_cut, RESULT)
+    cut = texts.join(of_text, "k", "left").select("k", "text", listed.alias("hits")).mapInArrow(_cut, RESULT)
     return cut.unionByName(copies).unionByName(short)
 
 

@@ -190,6 +190,25 @@ def test_substring_dedup(docs):
     assert substring_dedup.remove_repeats(none(docs)).count() == 0
 
 
+def test_substring_dedup_deletes_what_it_has_read(docs, monkeypatch):
+    alive = {}
+
+    def materialize(df, tag, f=substring_dedup.materialize):
+        out = f(df, tag)
+        alive[out.rankweave_path] = tag
+        return out
+
+    def discard(*tables, f=substring_dedup.discard):
+        f(*tables)
+        for x in tables:
+            del alive[x.rankweave_path]
+
+    monkeypatch.setattr(substring_dedup, "materialize", materialize)
+    monkeypatch.setattr(substring_dedup, "discard", discard)
+    out = substring_dedup.remove_repeats(docs)
+    assert sorted(alive.values()) == ["hits", "placed"] and out.count() == docs.count()  # what the result itself reads
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     r = random.Random(2)
     text = bytes(r.choice(b"abc ") for _ in range(5000))
