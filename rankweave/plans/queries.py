@@ -26,7 +26,7 @@ from rankweave.plans.engine import Engine
 from rankweave.sources import benchmark as bm
 from rankweave.sources import chunking
 from rankweave.sources.snippets import with_defaults
-from rankweave.storage import modified
+from rankweave.storage import modified, stored
 
 CODE = dataclasses.replace(RetrievalConfig(), field_weights={"code": 1.0})
 WINDOW = 13
@@ -101,7 +101,7 @@ def windows(rows, text, sizes):
 
 
 def judgements(spark, sf):
-    """Documents by the windows of the items that they hold: a join of hashes, of whole texts on both sides."""
+    """Documents by the windows of the items that they hold: a join of hashes, of whole texts on both sides. Stored, as metrics read them twice."""
     asked = items(spark, sf).withColumn("n", F.least(F.lit(WINDOW), F.size(F.regexp_extract_all("query", F.lit(WORD), F.lit(0))))).filter("n > 0")
     sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # WINDOW numbers at most
     wanted = [windows(asked.filter(F.col("n") == n), F.col("query"), [n]) for n in sizes] or [asked.withColumn("w", F.lit(0).cast("long"))]
@@ -109,7 +109,7 @@ def judgements(spark, sf):
     docs = windows(documents(spark, sf).select("id", "code"), F.col("code"), sizes or [WINDOW]).select("id", "w")
     hits = docs.join(wanted, "w").select("query_id", "id").distinct()
     labels = read(spark, sf, "labels").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("quality").alias("quality"))
-    return hits.join(labels, "id", "left").select("query_id", "id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade"))
+    return stored(hits.join(labels, "id", "left").select("query_id", "id", (1.0 + F.coalesce("quality", F.lit(0))).alias("grade")), "judgements")
 
 
 def token_stats(spark, sf):
@@ -198,9 +198,10 @@ def eval_summary(spark, sf):
 
 
 def ablation(spark, sf):
-    """Metrics of each ranking by itself and of their fusion."""
+    """Metrics of each ranking by itself and of their fusion. Either ranking is made once."""
     qrels, asked = judgements(spark, sf), items(spark, sf)
-    runs = {"lexical": lexical_run(spark, sf), "semantic": semantic_run(spark, sf), "fused": fused(spark, sf).withColumnRenamed("pool_rank", "rank")}
+    lexical_, semantic = stored(lexical_run(spark, sf), "lexical"), stored(semantic_run(spark, sf), "semantic")
+    runs = {"lexical": lexical_, "semantic": semantic, "fused": fusion.fuse(lexical_, semantic, CODE).withColumnRenamed("pool_rank", "rank")}
     rows = [metrics.summary(metrics.per_query(run.filter("rank <= 10"), qrels, asked)).select(F.lit(name).alias("setting"), "*") for name, run in runs.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
