@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.config import RetrievalConfig
-from rankweave.functions.text import let, tokenize
+from rankweave.functions.text import IDENTIFIER, SEPARATORS, let
 from rankweave.operators.lexical import SCALE, top
 
 #: A product with all vectors goes block by block over the queries.
 BLOCK = 2000
+#: Identifiers whose cells a task remembers, rows that it encodes at once, and settings of a hash.
+KEEP, ROWS, SIZE = 200_000, 500, {"blake2b": {"digest_size": 8}}
 TEXT_FIELDS = ["symbol_name", "symbol_type", "parent_symbol", "function_name", "class_name", "docstring", "decorators", "comments", "imports", "file_path", "code"]
 
 
@@ -25,38 +31,45 @@ def snippet_text(snippets: DataFrame) -> Column:
     return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def _digest(features: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The first four bytes of a feature's hash as a number, and the sign that the fifth gives."""
-    for batch in features:
-        digests = [hashlib.blake2b(x.encode(), digest_size=8).digest() for x in batch]
-        yield pd.DataFrame({"high": [int.from_bytes(d[:4], "little") for d in digests], "sign": [1 if d[4] & 1 else -1 for d in digests]})
-
-
-def _md5(feature: Column) -> Column:
-    """As ``_digest``, of the MD5 and as a column."""
-    h = F.md5(feature)
-    little = F.concat(*[F.substring(h, 7 - 2 * i, 2) for i in range(4)])
-    odd = F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2 == 1
-    return F.struct(F.conv(little, 16, 10).cast("long").alias("high"), F.when(odd, 1).otherwise(-1).alias("sign"))
+def _cells(item: str, dimensions: int, digest: str) -> np.ndarray:
+    """Where an identifier's tokens, their first and their last four characters count: the first four bytes of a feature's hash as
+    a number give the cell, the fifth the sign; a negative one has a place behind all cells."""
+    tokens = [item.lower(), *filter(None, (p.lower() for p in re.split(SEPARATORS, item)))]
+    made = [hashlib.new(digest, x.encode(), **SIZE.get(digest, {})).digest() for t in tokens for x in (t, t[:4], t[-4:])]
+    return np.array([int.from_bytes(d[:4], "little") % dimensions + (0 if d[4] & 1 else dimensions) for d in made])
 
 
 def hash_encode(texts: DataFrame, id_col: str = "id", text_col: str = "text", dimensions: int = 384, digest: str = "blake2b") -> DataFrame:
     """(id, vector array<double>): signed counts of tokens, their first and their last four characters, at length 1.
 
-    Each distinct feature is hashed once, with ``digest`` blake2b in Python, with md5 as a column; counting is relational. A text
-    without tokens has the zero vector.
+    Hashes are Python's, and a text is counted where it is: nothing is shuffled. A task hashes an identifier once, up to KEEP of them.
+    A text without tokens has the zero vector.
     """
-    tokens = texts.select(F.col(id_col).alias("id"), F.explode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))
-    features = tokens.select("id", F.explode(F.array("t", F.substring("t", 1, 4), F.expr("right(t, 4)"))).alias("feature"))
-    counts = features.groupBy("id", "feature").agg(F.count("*").alias("n"))
-    hashed = counts.select("feature").distinct().withColumn("h", _md5(F.col("feature")) if digest == "md5" else F.pandas_udf(_digest, "struct<high:long,sign:int>")("feature"))
-    hashed = hashed.select("feature", F.pmod("h.high", F.lit(dimensions)).cast("int").alias("idx"), "h.sign")
-    cells = counts.join(hashed, "feature").groupBy("id", "idx").agg(F.sum(F.col("sign") * F.col("n")).cast("double").alias("v"))
-    rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))).alias("cells"))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("cells", i), F.lit(0.0)))
-    out = texts.select(F.col(id_col).alias("id")).join(rows, "id", "left")
-    return out.select("id", normalize(F.when(F.col("cells").isNull(), zero).otherwise(dense)).alias("vector"))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for batch in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                out = np.zeros((batch.num_rows, dimensions))
+                for v, text in zip(out, batch.column(1).to_pylist(), strict=True):
+                    found = Counter(re.findall(IDENTIFIER, text))
+                    if not found:
+                        continue
+                    cells = []
+                    for item in found:
+                        if (own := known.get(item)) is None:
+                            own = _cells(item, dimensions, digest)
+                            if len(known) < KEEP:
+                                known[item] = own
+                        cells.append(own)
+                    times = np.repeat(list(found.values()), [len(c) for c in cells])
+                    n = np.bincount(np.concatenate(cells), times, 2 * dimensions)
+                    v[:] = n[:dimensions] - n[dimensions:]
+                    v /= max(math.sqrt(np.dot(v, v)), 1e-12)
+                ends = pa.array(np.arange(batch.num_rows + 1) * dimensions, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=["id", "vector"])
+
+    rows = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -18,11 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: While a table is written: its shuffle files go when it is there, and the driver keeps short descriptions of its plans.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "65536"}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder and read from there: whatever refers to it reads it and does not make it again."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def modified(spark: SparkSession, path: str) -> int:
