@@ -1,7 +1,7 @@
 """N-gram Jaccard join by set relations.
 
-Equal sets are one set from the start. Sets that can link at all share a signature (see ``signatures``), which gathers them
-in small groups; a group is joined in memory with index lists of prefix tokens. A list keeps its entries in blocks by what
+Equal sets are one set from the start. Sets that can link at all share a signature (see ``signatures``) and have sketches that
+permit it (see ``sketch``), which gathers them in small groups; a group is joined in memory with index lists of prefix tokens. A list keeps its entries in blocks by what
 they are known to be connected with, ascending in size, with the token's position, so that whole blocks are skipped: those
 of the component that the set is in already, those too short, those whose position leaves too little. Each set remembers the
 set through which it was linked and their overlap; from these and the new set's overlap with that set follow bounds for the new
@@ -15,20 +15,24 @@ import math
 import struct
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import NULL_ID, body, bucketed, id_key, join_hot, materialize, scratch, shuffle_partitions, table
+from rankweave.llm.common import NULL_ID, body, bucketed, discard, id_key, join_hot, materialize, scratch, shuffle_partitions, table
 from rankweave.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
 GROUP_SETS, GROUP_CHARS = 2000, 16_000_000  # a task joins no more sets and no more text than this at once (twice it, across blocks)
-GATHER = 1_000_000  # signatures that a task groups at once
+GATHER = 1_000_000  # signatures that a task deals out at once
+BUCKETS = 8  # of signatures, for each task that reads them
+SLACK = 4  # one part in so many is more than are needed
+SKETCH_BITS = 1 << 16  # at most
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,54 +78,115 @@ def need(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def _parts(c: int, percent: int) -> int:
-    """Into how many parts the sets of class ``c`` (the sizes from (100 / percent) ** c on) are dealt: more than the shingles in
-    which one of them and a larger set that it links with can differ, and so many more that hardly any set leaves that many empty."""
-    step = 100 / percent
-    small = math.ceil(step ** (c + 1))
-    large = small * 100 // percent + 1
-    least = small + large - 2 * need(small, large, percent) + 3
-    empty = least * math.exp(-max(1.0, step ** c) / least)
-    return least + math.ceil(empty + 4 * math.sqrt(empty))
+def _most(x: int, y: int, percent: int) -> int:
+    """In how many shingles linked sets of sizes x and y differ at most."""
+    return (x + y) * (100 - percent) // (100 + percent)
+
+
+@lru_cache(100_000)
+def _dealing(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """How sets of ``n`` shingles are dealt out: the class of sizes (from 2 ** class on), into how many parts, and how many of these
+    count. Once for the set's own class; once for the class before it, if a set in that can link with it."""
+    own, out = n.bit_length() - 1, []
+    for c, partner in ((own, n * 100 // percent), (own - 1, (1 << own) - 1)):
+        if c == own or 100 * partner >= percent * n:
+            top = (2 << c) - 1
+            most = _most(top, top * 100 // percent, percent)
+            out.append((c, most + 1 + -(-most // SLACK), _most(n, partner, percent) + 1))
+    return out
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of which two different linked sets have at least one in common.
 
-    Linked sets differ in at most d shingles, so if the shingles are dealt by hash into more than d parts, one part is
-    equal in both. d follows from the sizes; sets whose sizes permit a link are in the same class of sizes or in
-    neighbouring ones, so each set deals itself out for its own class, in which it may be the smaller of a pair, and for the
-    class before it, in which it may be the larger.
+    Linked sets differ in at most d shingles, so if the shingles are dealt by hash into parts, all but d of the parts that are not
+    empty are equal in both. Ordered by anything that follows from a part alone, the first part that is equal in both is
+    therefore among the first d + 1 of either set. The order is by size: parts of several shingles are seldom equal by chance, as
+    those of one shingle of a line that many texts have. The number of parts depends on the class of sizes; of a pair the
+    smaller set is in its own class, the larger in the same or the next, and deals itself out for the one before as well.
 
-    The equal part may be empty, and empty parts have no signature. A set with more than d parts that are not empty has one
-    among them that is equal in both. Of two sets without so many (``_parts`` makes them rare), both emit the least shingles
-    of which linked sets share one.
+    Of two sets with no more than d parts that are not empty (rare, as there are a quarter more parts than d + 1 even for the
+    largest of a class), both emit the least shingles of which linked sets share one.
     """
-    n, step, out, sparse = len(shingles), 100 / percent, [], False
-    own = int(math.log(n) / math.log(step)) if n else 0
-    while step ** own > n:
-        own -= 1
-    while step ** (own + 1) <= n:
-        own += 1
+    n, out, sparse = len(shingles), [], False
+    if not n:
+        return np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         mixed = shingles * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        for c in (own - 1, own):
-            parts = _parts(c, percent)
+        for c, parts, count in _dealing(n, percent):
             part = ((shingles >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))  # the shingles are sorted, so the parts are
-            # the largest that a set of this class can link with: as the smaller of the two, or as the larger, with one of the class before
-            partner = n * 100 // percent if c == own else math.ceil(step ** own) - 1
-            sparse |= len(first) <= (n + partner) * (100 - percent) // (100 + percent)
             sums = np.add.reduceat(mixed, first)
             sig = (sums ^ part[first].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) ^ np.uint64((c + 1) << 40)) * _MIX
-            out.append(sig ^ (sig >> np.uint64(32)))
+            sig ^= sig >> np.uint64(32)
+            sparse |= len(first) < count
+            if len(first) > count:
+                sig = sig[np.lexsort((sig, -np.diff(first, append=n)))[:count]]
+            out.append(sig)
         if sparse:  # the least common shingle is at most n - overlap places from the start of both
             least = mixed[: n - -(-percent * n // 100) + 1] * _MIX
             out.append(least ^ (least >> np.uint64(32)))
     return np.concatenate(out).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each of 64 to SKETCH_BITS hash values, over n of them where possible: whether an odd number of shingles has it.
+    Every shingle in which two sets differ turns one bit, so two sketches differ in no more bits than the sets in shingles.
+    That holds when the upper half of a sketch is folded onto the lower as well."""
+    if not len(shingles):
+        return b""
+    bits = max(64, min(SKETCH_BITS, 1 << len(shingles).bit_length()))
+    with np.errstate(over="ignore"):
+        at = (shingles * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)).astype(np.int64) & bits - 1
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _spanning(sizes: np.ndarray, sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect every two sets which may link by their sizes and sketches. Each set is compared with those that
+    are not reached yet."""
+    if len(sizes) == 2:
+        (n, a), (m, b) = sorted(zip(sizes.tolist(), sketches, strict=True))
+        if 100 * n < percent * m:
+            return []
+        x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b) * 8
+        while bits > len(a) * 8:
+            bits //= 2
+            y = y >> bits ^ y & (1 << bits) - 1
+        return [(0, 1)] if (x ^ y).bit_count() <= _most(n, m, percent) else []
+    order = np.argsort(sizes, kind="stable")
+    size, left, edges = sizes[order], np.ones(len(sizes), bool), []
+    words = np.array([len(x) // 8 for x in sketches])[order]  # ascending, as the sizes are
+    starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])).tolist()
+    tables = [(a, b, np.frombuffer(b"".join(sketches[i] for i in order[a:b]), np.uint64).reshape(b - a, -1)) for a, b in zip(starts, [*starts[1:], len(size)], strict=True)]
+
+    def folded(table: np.ndarray, width: int) -> np.ndarray:
+        while table.shape[1] > width:
+            half = table.shape[1] // 2
+            table = table[:, :half] ^ table[:, half:]
+        return table
+
+    for seed in range(len(size)):
+        if not left[seed]:
+            continue
+        left[seed], queue = False, [seed]
+        while queue:
+            x = queue.pop()
+            n = int(size[x])
+            lo, hi = np.searchsorted(size, [-(-percent * n // 100), n * 100 // percent + 1]).tolist()
+            mine = next(t[x - a:x - a + 1] for a, b, t in tables if a <= x < b)
+            for a, b, t in tables:
+                to = np.flatnonzero(left[max(a, lo):min(b, hi)]) + max(a, lo)
+                if len(to):
+                    width = min(t.shape[1], mine.shape[1])
+                    differ = np.bitwise_count(folded(t[to - a], width) ^ folded(mine, width)).sum(1, dtype=np.int64)
+                    to = to[differ <= (n + size[to]) * (100 - percent) // (100 + percent)]
+                    left[to] = False
+                    queue += to.tolist()
+                    edges += [(int(order[x]), y) for y in order[to].tolist()]
+    return edges
+
+
 class GroupJoin:
     """Components of the sets of a group. ``same[i]``: what set i is known to be connected with; with ``sides`` only sets of
     different sides are compared. ``links`` gets an edge for every two components that a link joins."""
@@ -248,53 +313,93 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _described(own: DataFrame, n: int) -> DataFrame:
-    """``key``, ``hash``, ``n_shingles``, ``sid`` (of the set) and ``size`` (of the text) of every row."""
+    """``key``, ``hash``, ``n_shingles``, ``sid`` (of the set), ``size`` (of the text) and ``sketch`` of every row."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [shingle(x) for x in texts]
-            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "hash", "n_shingles", "sid", "size"])
+            made = [pa.array(map(len, sets), pa.int64()), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["key", "hash", "n_shingles", "sid", "size", "sketch"])
 
-    return own.mapInArrow(describe, "key long, hash long, n_shingles long, sid long, size long")
+    return own.mapInArrow(describe, "key long, hash long, n_shingles long, sid long, size long, sketch binary")
 
 
-def _candidates(texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """``a``, ``b``: edges that connect all sets that share a signature.
+def _shared(texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """``sig``, ``sid``: the signatures that several sets have. They are moved as packed numbers, 16 bytes a signature and set."""
+    parts = max(shuffle_partitions(texts.sparkSession), texts.sparkSession.sparkContext.defaultParallelism)
+    buckets = BUCKETS * parts
 
-    A task first connects what it holds: of a million signatures it hands on each once, with the least set that has it. A signature
-    of very many sets therefore has a row for each such million, not one for each set.
-    """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sig, sid, null) once for each signature, with the least sid; (null, sid, other sid) for the others that have it."""
         shingle, sigs, sids, held = Shingler(n), [], [], 0
 
-        def grouped():
-            sig, sid = np.concatenate(sigs), np.concatenate(sids)
-            order = np.lexsort((sid, sig))
-            sig, sid = sig[order], sid[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(sid[first]), pa.nulls(int(first.sum()), pa.int64())], names=["sig", "sid", "other"])
-            least = sid[first][np.cumsum(first) - 1]
-            pairs = np.unique(np.stack([least, sid], 1)[least != sid], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sig", "sid", "other"])
+        def dealt() -> pa.RecordBatch:
+            sig = np.concatenate(sigs)
+            sid = np.repeat(np.array(sids, np.int64), [len(x) for x in sigs])
+            bucket = (sig.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            found, first = np.unique(bucket[order], return_index=True)
+            offsets = pa.py_buffer(np.append(first, len(sig)).astype(np.int32) * np.int32(8))
+            packed = [pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(x[order])]) for x in (sig, sid)]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *packed], names=["bucket", "sigs", "sids"])
 
         for batch in batches:
             for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sigs.append(signatures(shingle(text), percent))
-                sids.append(np.full(len(sigs[-1]), sid))
+                sids.append(sid)
                 held += len(sigs[-1])
                 if held > GATHER:
-                    yield from grouped()
+                    yield dealt()
                     sigs, sids, held = [], [], 0
         if held:
-            yield from grouped()
+            yield dealt()
 
-    signed = texts.select("sid", "text").mapInArrow(sign, "sig long, sid long, other long")
-    by_sig = Window.partitionBy("sig", "other")  # "other" only spreads the rows of the second kind
-    least = F.when(F.col("sig").isNull(), F.col("sid")).otherwise(F.min("sid").over(by_sig))
-    return signed.select(least.alias("a"), F.coalesce("other", "sid").alias("b")).filter("a <> b").distinct()
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, sids = [], []
+        for batch in batches:
+            sigs += batch.column(1).to_pylist()
+            sids += batch.column(2).to_pylist()
+        sig, sid = (np.frombuffer(b"".join(x), np.int64) for x in (sigs, sids))
+        order = np.argsort(sig)
+        sig = sig[order]
+        same = sig[1:] == sig[:-1]
+        several = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(sig) else order
+        for at in range(0, len(several), 100_000):
+            i = several[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(sid[order[i]])], names=["sig", "sid"])
+
+    signed = texts.select("sid", "text").mapInArrow(sign, "bucket int, sigs binary, sids binary")
+    return materialize(signed.repartition(parts, "bucket").mapInArrow(share, "sig long, sid long"), "shared")
+
+
+def _candidates(texts: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """``a``, ``b``: edges that connect all sets that share a signature and may link by their sketches."""
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sids, sizes, sketches = None, [], [], []
+
+        def edges() -> list[tuple[int, int]]:
+            return [(sids[i], sids[j]) for i, j in _spanning(np.array(sizes, np.int64), sketches, percent)] if len(sids) > 1 else []
+
+        for batch in batches:
+            found = set()
+            for sig, sid, size, bits in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if sig != last:
+                    found.update(edges())
+                    last, sids, sizes, sketches = sig, [], [], []
+                sids.append(sid)
+                sizes.append(size)
+                sketches.append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        rest = edges()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rest], pa.int64()), pa.array([y for _, y in rest], pa.int64())], names=["a", "b"])
+
+    shared = _shared(texts, percent, n)
+    parts = max(shuffle_partitions(texts.sparkSession), texts.sparkSession.sparkContext.defaultParallelism)
+    listed = shared.join(sets.select("sid", "n_shingles", "sketch"), "sid").select("sig", "sid", "n_shingles", "sketch")
+    pairs = listed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(connect, "a long, b long")
+    edges = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "candidates")
+    discard(shared)
+    return edges
 
 
 def _dealt(sets: DataFrame, groups: DataFrame, group_sets: int, group_chars: int) -> DataFrame:
@@ -324,12 +429,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with scratch(spark) as keep:
         rows = materialize(_described(own, n), "sets")
         total = rows.count()
-        sets = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("key", "hash", "size")).alias("rep"), F.count("*").alias("copies"))
+        sets = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("key", "hash", "size", "n_shingles", "sketch")).alias("rep"), F.count("*").alias("copies"))
         sets = materialize(sets.select("sid", "rep.*", "copies"), "distinct")
         texts = own.join(sets.select("sid", "key", "hash"), ["key", "hash"]).select("key", "hash", "sid", "text")
         texts = bucketed(texts, shuffle_partitions(spark), ["key", "hash"], "sets")
 
-        edges = materialize(_candidates(texts, percent, n), "candidates")
+        edges = _candidates(texts, sets, percent, n)
         groups = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("gid"))
         blocks = materialize(_dealt(sets, groups, group_sets, group_chars), "blocks")
         labels = _class_labels(texts, blocks, percent, n, group_sets)

@@ -554,3 +554,40 @@ def test_shard_numbers_do_not_overflow():
     """The number of a shard holds any task and as many shards of it as a task can write."""
     part, shard = 2**31 - 1, 2**32 - 1
     assert token_table.MANIFEST.startswith("part long") and 0 < (part << 32) + shard < 2**63
+
+
+def test_jaccard_sketches_permit_every_link():
+    """Linked sets differ in no more bits than they may in shingles, in lists of two and of many and at widths that are folded."""
+    r = np.random.default_rng(9)
+    for n in [1, 2, 7, 30, 62, 63, 64, 65, 120, 127, 128, 250, 260, 900, 1100]:
+        sets, linked = [], []
+        for _ in range(4):
+            for _ in range(3):
+                m = n + int(r.integers(0, n // 6 + 1))
+                least = jaccard_join.need(n, m, 85)
+                if least <= n:
+                    tokens = r.integers(0, 2**64 - 1, n + m, dtype=np.uint64)
+                    linked.append((len(sets), len(sets) + 1))
+                    sets += [np.unique(tokens[:n]), np.unique(np.concatenate([tokens[:least], tokens[n:n + m - least]]))]
+        sizes, sketches = np.array([len(x) for x in sets]), [jaccard_join.sketch(x) for x in sets]
+        for i, j in linked:
+            assert jaccard_join._spanning(sizes[[j, i]], [sketches[j], sketches[i]], 85) == [(0, 1)]
+        parent = list(range(len(sets)))
+        for i, j in jaccard_join._spanning(sizes, sketches, 85):
+            parent = [parent[i] if x == parent[j] else x for x in parent]
+        assert all(parent[i] == parent[j] for i, j in linked)
+        assert n < 30 or len(set(parent)) > 1
+
+
+def test_jaccard_groups_hold_no_texts_that_share_a_line_only(spark, monkeypatch):
+    """A line that many texts have gathers them in no group, however many there are; and signatures are fewer than a quarter of the shingles."""
+    r, seen, dealt = random.Random(8), [], jaccard_join._dealt
+    line = " ".join(f"line{i}" for i in range(30))
+    rows = [(i, line + " " + " ".join(f"w{r.randrange(10 ** 9)}" for _ in range(r.randint(30, 60)))) for i in range(1500)]
+    rows += [(len(rows) + i, f"{t} more") for i, (_, t) in enumerate(rows[:20])]
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda sets, groups, *a: seen.append(groups.groupBy("gid").count().collect()) or dealt(sets, groups, *a))
+    out = {x["key"]: x["component"] for x in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: i - 1500 if i >= 1500 else i for i in range(1520)}
+    assert sorted(x["count"] for x in seen[0]) == [2] * 20
+    shingles = jaccard_join.Shingler()(" ".join(f"w{i}" for i in range(250)))
+    assert len(jaccard_join.signatures(shingles, 85)) < len(shingles) / 4
