@@ -20,11 +20,14 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankweave.llm.byte_bpe import joined
 from rankweave.llm.common import body, fresh_dir, materialize, table
 
 END_ID = 1
@@ -33,13 +36,14 @@ BLOCK_BYTES = 64 * 1024
 SHARD_BYTES = 32 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7  # bits a key; about 1 % of absent keys pass
 CACHE_WORDS = 500_000
+SLICE_BYTES = 8 << 20  # of text whose words are looked up at once; a longer text alone
 MAGIC = b"RWSST001"
 _PLAIN = chr(0x130)  # letters below it change neither number nor kind when they are lower-cased or normalised
 _FOOTER = struct.Struct("<QQQQII8s")
 #: White space as the tokenizer's normaliser has it; no token crosses it.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE = re.compile("[" + "".join(map(chr, _SPACES)) + "]+")
-_NOT_SPACE = re.compile(r"[\x1c-\x1f]")  # str.split() takes these for white space
+_ODD_SPACE = "[" + "".join(f"\\x{{{x:x}}}" for x in _SPACES if x not in (0x0A, 0x20)) + "]"  # any but a space and a line feed
 
 
 def encode_key(key: int | None) -> bytes:
@@ -160,7 +164,8 @@ def _byte_letters() -> dict[int, str]:
 def encoder(path: str, end_id: int | None = END_ID, cache_words: int = CACHE_WORDS):
     """A function from texts to their ids as little-endian 16-bit integers.
 
-    No token of this vocabulary crosses white space, so words are encoded once and kept. The store has two generations
+    No token of this vocabulary crosses white space, so words are encoded once and kept; a slice of texts is cut into words and
+    put together from their ids in Arrow, so that only its distinct words pass through Python. The store has two generations
     of ``cache_words``: a full one becomes the old one, whose words move back when they are met again; what is in it
     changes no result. Plain letters, maybe with a full stop or comma behind them, go to the tokenizer's model directly.
     """
@@ -182,30 +187,48 @@ def encoder(path: str, end_id: int | None = END_ID, cache_words: int = CACHE_WOR
 
     marks = {"": b""} | {x: pack(own.encode(x, add_special_tokens=False).ids) for x in ".,"}
 
-    def encode(texts: list[str | None]) -> Iterator[bytes]:
+    def cut(texts: pa.Array) -> pa.Array:
+        """The words of each text; some may be empty."""
+        if pc.any(pc.match_substring_regex(texts, _ODD_SPACE)).as_py():
+            return pa.array([_SPACE.split(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def learn(words: list[str]) -> None:
+        others = []
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+                continue
+            stem, mark = (w[:-1], w[-1:]) if w[-1:] in marks else (w, "")
+            if not stem.isalpha() or max(stem) >= _PLAIN:
+                others.append(w)
+                continue
+            stem = stem.lower()
+            if (ids := young.get(stem) or old.get(stem)) is None:
+                ids = pack([x.id for x in pieces(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))])
+            young[stem] = ids
+            young[w] = ids + marks[mark]
+        for w, e in zip(others, own.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            young[w] = pack(e.ids)
+
+    def encode(texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         nonlocal young, old
-        for first in range(0, len(texts), 64):
-            split = [(x or "").split() if not x or not _NOT_SPACE.search(x) else [w for w in _SPACE.split(x) if w] for x in texts[first: first + 64]]
+        every = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        size = np.cumsum(pc.binary_length(every).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(every):
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE_BYTES, side="right")))
+            lists = cut(every.slice(first, last - first))
+            words = lists.flatten().dictionary_encode()
+            distinct = words.dictionary.to_pylist()
             if len(young) > cache_words:
                 young, old = {}, young
-            others = []
-            for w in set().union(*split).difference(young):
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                    continue
-                stem, mark = (w[:-1], w[-1]) if w[-1] in marks else (w, "")
-                if not stem.isalpha() or max(stem) >= _PLAIN:
-                    others.append(w)
-                    continue
-                stem = stem.lower()
-                if (ids := young.get(stem) or old.get(stem)) is None:
-                    ids = pack([x.id for x in pieces(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))])
-                young[stem] = ids
-                young[w] = ids + marks[mark]
-            for w, e in zip(others, own.encode_batch_fast(others, add_special_tokens=False), strict=True):
-                young[w] = pack(e.ids)
-            for ws in split:
-                yield b"".join([*map(young.__getitem__, ws), end])
+            learn([w for w in distinct if w not in young])
+            each = pa.array(list(map(young.__getitem__, distinct)), pa.binary())
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            for ids in joined(each.take(words.indices), ends):
+                yield ids + end
+            first = last
 
     return encode
 
@@ -251,7 +274,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
 
         encode = encoder(path, end_id)
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if writer is not None and writer.at >= shard_bytes and key != rows[-1][4]:
                     close()
                     writer = None
@@ -280,8 +303,6 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     count = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:

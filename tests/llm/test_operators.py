@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,3 +592,17 @@ def test_jaccard_groups_hold_no_texts_that_share_a_line_only(spark, monkeypatch)
     assert sorted(x["count"] for x in seen[0]) == [2] * 20
     shingles = jaccard_join.Shingler()(" ".join(f"w{i}" for i in range(250)))
     assert len(jaccard_join.signatures(shingles, 85)) < len(shingles) / 4
+
+
+def test_token_table_encodes_arrow_slices_as_the_library_does(monkeypatch):
+    """Slices with and without odd white space, empty words between spaces, and a store that forgets words."""
+    from tokenizers import Tokenizer
+
+    path, r = P.path(token_table.VOCABULARY), random.Random(2)
+    library = Tokenizer.from_file(path)
+    plain = ["a", "B", "é", " ", "  ", "\n", "\x1c", ".", ",", "'s", "12", "İ", "ß", "中", "\0", "foo.", "..", ", ", "word,"]
+    monkeypatch.setattr(token_table, "SLICE_BYTES", 300)
+    for letters in (plain, [*plain, "\r\n", "\t", "\x85", "\xa0", "　", "᠎", "​"]):
+        texts = [None, "", " ", "\n", *("".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(1000))]
+        want = [struct.pack(f"<{len(x) + 1}H", *x, 1) for x in (library.encode(t or "", add_special_tokens=False).ids for t in texts)]
+        assert list(token_table.encoder(path, cache_words=50)(pa.array(texts, pa.string()))) == want
