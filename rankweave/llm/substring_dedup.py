@@ -2,13 +2,14 @@
 
 The rank of a position at length L stands for the L bytes that start there. Ranks are names: the name at 2L is mixed from the
 names at L of a position and of the one L further on, so that names at 2, 4, ..., 32 bytes come from one sweep over a text, and
-those at 20, 35 and 50 bytes from two overlapping names. Spark groups positions by name at the growing lengths 20, 35, 50 and
-drops the ones whose name no other document has.
+those at 20, 35 and 50 bytes from two overlapping names. Eight bytes, scrambled, are their own name, with which the sweep begins.
+Positions are grouped by name at the growing lengths 20, 35, 50, and the ones whose name no other document has drop out.
 
 Not every position takes part: of the 31 names of 20 bytes in a string of 50, the least marks an anchor, and equal
 strings have equal anchors. One position in 15 is an anchor, and each stands for the strings of 50 bytes around it:
 
-* 20 bytes: anchors whose name is in one document only are dropped.
+* 20 bytes: anchors whose name is in one document only are dropped. Each part of the texts hands on its distinct names, packed
+  and dealt by name, and gets back those that another document has.
 * 80 bytes: an anchor whose whole surroundings an earlier document has is settled: all its strings are repeats. Only the first
   document with such surroundings goes on.
 * 35 bytes: of its strings, each holds the 15 bytes before the anchor or the 15 behind it; a half that no other document has drops out.
@@ -22,26 +23,31 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import NULL_ID, body, bucketed, discard, id_key, join_hot, materialize, shuffle_partitions, table
+from rankweave.llm.common import NULL_ID, body, bucketed, delete_dir, discard, id_key, join_hot, materialize, part_batches, shuffle_partitions, table, write_by_part
 
 THRESHOLD = 50
 GRAM, HALF = 20, 15
 REACH = THRESHOLD - GRAM  # bytes around an anchor's gram, on either side
-SEGMENT = 1 << 20  # bytes whose names are in memory at once
+SEGMENT = 1 << 17  # bytes whose names are in memory at once; few enough for a processor's cache
+GATHER = 1 << 20  # names that a task holds before it hands them on
+PER_BUCKET = 400_000  # names that are compared at once, about
 MARGIN = 128
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.uint64(2**64 - 1)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * _A) ^ ((b + _C) * _C)
+    x = b + _C
+    x *= _C
+    x ^= a * _A
     x ^= x >> np.uint64(32)
     x *= _A
     x ^= x >> np.uint64(29)
@@ -52,13 +58,25 @@ def _double(name: np.ndarray, step: int) -> np.ndarray:
     return _mix(name[:-step], name[step:]) if len(name) > step else name[:0]
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Names at 8 bytes: the bytes, scrambled one to one, as the names that are mixed have to differ in all their bits."""
+    if len(data) < 8:
+        return np.empty(0, np.uint64)
+    x = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).astype(np.uint64)
+    x ^= x >> np.uint64(32)
+    x *= _A
+    x ^= x >> np.uint64(29)
+    x *= _C
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def names(data: np.ndarray, upto: int = 32) -> dict[int, np.ndarray]:
     """Names of all positions at 16 and 32 bytes, by doubling."""
-    out, name, size = {}, data.astype(np.uint64), 1
+    out, name, size = {}, _eights(data), 8
     while size < upto:
         name, size = _double(name, size), 2 * size
-        if size >= 16:
-            out[size] = name
+        out[size] = name
     return out
 
 
@@ -95,25 +113,51 @@ class Buffer:
         if parts:
             yield cls(parts)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, positions and names of the anchors."""
+    @cached_property
+    def n16(self) -> np.ndarray:
+        return names(self.data, 16)[16]
+
+    def name(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Names of 32, 35 or 65 bytes at some places; of no meaning where a text has ended."""
+        if size == 32:
+            at = np.clip(at, 0, len(self.n16) - 17)
+            return _mix(self.n16[at], self.n16[at + 16])
+        if size == 35:
+            return _mix(self.name(at, 32), self.name(at + 3, 32))
+        return _mix(_mix(self.name(at, 32), self.name(at + 32, 32)), self.name(at + 33, 32))
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the data, stretches and names of the anchors."""
         width = REACH + 1
-        n = len(self.data)
-        gram = _double(names(self.data, 16)[16], GRAM - 16)
-        if not len(gram):
+        gram = _double(self.n16, GRAM - 16)
+        if len(self.data) < THRESHOLD:
             return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-        stretch = np.repeat(np.arange(len(self.start)), self.lengths)[: len(gram)]
-        at = np.arange(len(gram)) - self.start[stretch]
-        whole = at + GRAM <= self.lengths[stretch]
-        gram = np.where(whole, gram, _NONE)
+        whole = np.ones(len(self.data), bool)
+        ends = self.start + self.lengths
+        for left in range(1, GRAM):
+            whole[np.maximum(ends - left, self.start)[self.lengths > 0]] = False
+        whole = whole[: len(gram)]
+        order = gram.astype(np.uint32)  # the lower half of a name; the upper one deals the names
+        order[~whole] = np.iinfo(np.uint32).max
         if len(gram) >= width:
-            least = _slide(gram, width, np.minimum)
-            none = np.zeros(width - 1, np.uint64)
+            least = _slide(order, width, np.minimum)
+            none = np.zeros(width - 1, np.uint32)
             most = _slide(np.concatenate([none, least, none]), width, np.maximum)
-            whole &= gram == most
-        pos = at + self.offset[stretch]
-        i = np.flatnonzero(whole & (pos >= self.lo[stretch]) & (pos < self.hi[stretch]) & (n >= THRESHOLD))
-        return self.row[stretch[i]], pos[i], gram[i]
+            whole &= order == most
+        at = np.flatnonzero(whole)
+        stretch = np.searchsorted(self.start, at, side="right") - 1
+        pos = at - self.start[stretch] + self.offset[stretch]
+        own = (pos >= self.lo[stretch]) & (pos < self.hi[stretch])
+        return at[own], stretch[own], gram[at[own]]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, positions and names of the anchors."""
+        at, stretch, gram = self.marks()
+        return self.row[stretch], at - self.start[stretch] + self.offset[stretch], gram
+
+    def room(self, pos: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bytes, up to REACH, a text has before and behind the grams at ``pos``."""
+        return np.minimum(REACH, pos), np.minimum(REACH, self.size[stretch] - pos - GRAM)
 
     def places(self, rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the given (row, position) pairs those that this buffer answers for: their index, place in the data, stretch."""
@@ -125,17 +169,15 @@ class Buffer:
         ok &= (self.row[stretch] == rows) & (pos < self.hi[stretch])
         i = np.flatnonzero(ok)
         s = stretch[i]
-        return i, self.start[s] + pos[i] - self.offset[s], np.minimum(REACH, pos[i]), np.minimum(REACH, self.size[s] - pos[i] - GRAM)
+        return i, self.start[s] + pos[i] - self.offset[s], *self.room(pos[i], s)
 
 
 def _surroundings(buffer: Buffer, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Names of all that the strings around an anchor hold: up to REACH bytes before and behind it, and where a text ends."""
     out = np.empty(len(at), np.uint64)
     full = (left == REACH) & (right == REACH)
-    n32 = names(buffer.data)[32]
     a = at[full] - REACH
-    if len(a):
-        out[full] = _mix(_mix(n32[a], n32[a + 32]), n32[a + 2 * REACH + GRAM - 32])
+    out[full] = _mix(_mix(buffer.name(a, 32), buffer.name(a + 32, 32)), buffer.name(a + 2 * REACH + GRAM - 32, 32))
     data = buffer.data.tobytes() if not full.all() else b""
     for i in np.flatnonzero(~full).tolist():
         text = data[at[i] - left[i]: at[i] + GRAM + right[i]]
@@ -164,80 +206,227 @@ def _emit(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in _slices(batches):
-            keys = batch.column("k").to_numpy()
-            for buffer in Buffer.of(_bytes(batch)):
-                rows, pos, gram = buffer.anchors()
-                yield _emit({"h": gram, "k": keys[rows], "pos": pos.astype(np.int32)})
-
-
-def _name_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in _slices(batches):
-            keys = batch.column("k").to_numpy()
-            rows, members = _flat(batch, "at")
-            pos, h = members.field("pos").to_numpy().astype(np.int64), members.field("h").to_numpy()
-            for buffer in Buffer.of(_bytes(batch)):
-                i, at, left, right = buffer.places(rows, pos)
-                if not len(i):
+def _binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values of ``data`` from each of ``bounds`` to the next as one binary value."""
+    offsets = (bounds * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _dealt(name: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the names (sorted) of each of ``buckets`` (a power of two) begin, by their upper bits; one more: where the last end."""
+    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
+    return np.concatenate([[0], np.searchsorted(name, edges), [len(name)]])
+
+
+def _first_keys(name: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each of the names (sorted) the least of the keys that have it."""
+    if not len(name):
+        return keys
+    first = np.concatenate([[True], name[1:] != name[:-1]])
+    return np.minimum.reduceat(keys, np.flatnonzero(first))[np.cumsum(first) - 1]
+
+
+def _among(some: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``some`` are in ``known`` (sorted)."""
+    if not len(known):
+        return np.zeros(len(some), bool)
+    return known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of the batches, each with rows of one part."""
+    for batch in _slices(batches):
+        parts = batch.column("part").to_numpy()
+        for part in np.unique(parts).tolist():
+            yield part, batch if (parts == part).all() else batch.filter(pa.array(parts == part))
+
+
+def _gather_names(buckets: int):
+    """For mapInArrow: the distinct names of the anchors of each part, sorted and packed by bucket (their upper bits), and which
+    of them are in several documents of the part. A part's names may come in several pieces."""
+    def packed(part: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(gram)
+        gram, keys = gram[order], keys[order]
+        first = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
+        several = np.zeros(int(first.sum()), np.uint8)
+        several[(np.cumsum(first) - 1)[1:][~first[1:] & (keys[1:] != keys[:-1])]] = 1
+        gram = gram[first]
+        bounds = _dealt(gram, buckets)
+        columns = [pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, part, np.int32)), _binaries(gram, bounds), _binaries(several, bounds)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "names", "several"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last, n = None, 0
+        for part, rows_of in _by_part(batches):
+            if held and (part != last or n > GATHER):
+                yield packed(last, held)
+                held, n = [], 0
+            last, keys = part, rows_of.column("k").to_numpy()
+            for buffer in Buffer.of(_bytes(rows_of)):
+                rows, _, gram = buffer.anchors()
+                held.append((gram, keys[rows]))
+                n += len(gram)
+        if held:
+            yield packed(last, held)
+
+    return run
+
+
+def _names_in_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of ``_gather_names``, sorted by bucket, the names of each part that another document has."""
+    def found(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        lists = [np.frombuffer(x, np.uint64) for _, x, _ in rows]
+        every, several = np.concatenate(lists), np.concatenate([np.frombuffer(x, np.uint8) for _, _, x in rows])
+        order = np.sort(every)
+        known = np.unique(np.concatenate([order[1:][order[1:] == order[:-1]], every[several > 0]]))
+        left = [x[_among(x, known)] for x in lists]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in left])])
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int32()), _binaries(np.concatenate(left), bounds)], names=["part", "names"])
+
+    held, last = [], None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "names", "several")), strict=True):
+            if held and bucket != last:
+                yield found(held)
+                held = []
+            last = bucket
+            held.append(row)
+    if held:
+        yield found(held)
+
+
+def _name_surroundings(folder: str):
+    """For mapInArrow: the anchors whose name ``folder`` has for their part, with the names of what is around them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, none = np.empty(0, np.uint64), None, np.uint64(0)
+        for part, rows_of in _by_part(batches):
+            if part != last:
+                lists = [np.frombuffer(x, np.uint64) for b in part_batches(folder, part, ["names"]) for x in b.column("names").to_pylist()]
+                known, last = np.unique(np.concatenate([np.empty(0, np.uint64), *lists])), part
+            keys = rows_of.column("k").to_numpy()
+            for buffer in Buffer.of(_bytes(rows_of)):
+                at, stretch, h = buffer.marks()
+                shared = _among(h, known)
+                if not shared.any():
                     continue
+                at, stretch, h = at[shared], stretch[shared], h[shared]
+                pos = at - buffer.start[stretch] + buffer.offset[stretch]
+                left, right = buffer.room(pos, stretch)
                 around = _surroundings(buffer, at, left, right)
-                n32 = names(buffer.data)[32]
-                n35 = _double(n32, 3)
-                none = np.uint64(0)
-                before = np.where(left >= HALF, n35[np.clip(at - HALF, 0, len(n35) - 1)], none)
-                behind = np.where(right >= HALF, n35[np.clip(at, 0, len(n35) - 1)], none)
-                n65 = _mix(_mix(n32[:-33], n32[32:-1]), n32[33:]) if len(n32) > 33 else n32[:1]
-                all_before = np.where((left == REACH) & (right >= HALF), n65[np.clip(at - REACH, 0, len(n65) - 1)], none)
-                all_behind = np.where((left >= HALF) & (right == REACH), n65[np.clip(at - HALF, 0, len(n65) - 1)], none)
-                yield _emit({"h": h[i], "k": keys[rows[i]], "pos": pos[i].astype(np.int32), "cx": around, "before": before, "behind": behind, "all_before": all_before, "all_behind": all_behind})
-
-
-def _name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
+                before = np.where(left >= HALF, buffer.name(at - HALF, 35), none)
+                behind = np.where(right >= HALF, buffer.name(at, 35), none)
+                all_before = np.where((left == REACH) & (right >= HALF), buffer.name(at - REACH, 65), none)
+                all_behind = np.where((left >= HALF) & (right == REACH), buffer.name(at - HALF, 65), none)
+                yield _emit({"h": h, "k": keys[buffer.row[stretch]], "pos": pos.astype(np.int32), "cx": around, "before": before, "behind": behind, "all_before": all_before, "all_behind": all_behind})
+
+    return run
+
+
+def _name_strings(buckets: int):
+    """For mapInArrow: the strings around anchors, sorted by name and packed by bucket. Those that an earlier document among the
+    texts at hand has are known for repeats and come in a row by themselves, under a bucket below 0."""
+    fields = ["names", "keys", "pos", "shifts"]
+
+    def packed(bounds: np.ndarray, numbers: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(_binaries(x, bounds) for x in columns)], names=["bucket", *fields])
+
+    def told(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, keys, pos, shift = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(name)
+        name, keys, pos, shift = (x[order] for x in (name, keys, pos, shift))
+        again = keys > _first_keys(name, keys)
+        yield packed(np.array([0, again.sum()]), np.array([-1 - TaskContext.get().partitionId()]), name[again], keys[again], pos[again], shift[again])
+        name, keys, pos, shift = (x[~again] for x in (name, keys, pos, shift))
+        yield packed(_dealt(name, buckets), np.arange(buckets), name, keys, pos, shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, shifts = [], 0, np.arange(REACH + 1)
+        in_half = np.where(shifts >= HALF, 1, 0) | np.where(REACH - shifts >= HALF, 2, 0)
         for batch in _slices(batches):
             keys = batch.column("k").to_numpy()
             rows, members = _flat(batch, "at")
             pos, h, halves = members.field("pos").to_numpy().astype(np.int64), members.field("h").to_numpy(), members.field("halves").to_numpy()
             for buffer in Buffer.of(_bytes(batch)):
                 i, at, left, right = buffer.places(rows, pos)
-                if not len(i):
+                # strings that start so many bytes before the anchor
+                j, shift = np.nonzero((shifts <= left[:, None]) & (REACH - shifts <= right[:, None]) & ((in_half & halves[i][:, None]) > 0))
+                if not len(j):
                     continue
-                n50 = _double(names(buffer.data)[32], THRESHOLD - 32)
-                for shift in range(REACH + 1):  # strings that start so many bytes before the anchor
-                    half = np.where(shift >= HALF, halves[i] & 1, 0) | np.where(REACH - shift >= HALF, halves[i] & 2, 0)
-                    j = np.flatnonzero((shift <= left) & (REACH - shift <= right) & (half > 0))
-                    if len(j):
-                        yield _emit({"name": _mix(n50[at[j] - shift], h[i[j]].view(np.uint64)), "k": keys[rows[i[j]]], "at": pos[i[j]] * (REACH + 1) + shift})
+                start, i = at[j] - shift, i[j]
+                n50 = _mix(buffer.name(start, 32), buffer.name(start + THRESHOLD - 32, 32))
+                held.append((_mix(n50, h[i].view(np.uint64)), keys[rows[i]], pos[i].astype(np.int32), shift.astype(np.uint8)))
+                n += len(j)
+                if n > GATHER:
+                    yield from told(held)
+                    held, n = [], 0
+        if held:
+            yield from told(held)
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of ``_name_strings``, sorted by bucket, the strings that an earlier document has, as masks of their anchors."""
+    def masks(rows: list[tuple[bytes, ...]], known: bool) -> pa.RecordBatch:
+        name, keys, pos, shift = (np.concatenate([np.frombuffer(x, t) for x in xs]) for xs, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int32, np.uint8), strict=True))
+        if not known:
+            order = np.argsort(name)
+            name, keys, pos, shift = (x[order] for x in (name, keys, pos, shift))
+            again = keys > _first_keys(name, keys)
+            keys, pos, shift = keys[again], pos[again], shift[again]
+        return _emit({"k": keys, "pos": pos, "mask": np.int64(1) << shift.astype(np.int64)})
+
+    held, last = [], None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "names", "keys", "pos", "shifts")), strict=True):
+            if held and (bucket != last or bucket < 0):
+                yield masks(held, last < 0)
+                held = []
+            last = bucket
+            held.append(row)
+    if held:
+        yield masks(held, last < 0)
+
+
+def _starts(pos: np.ndarray, mask: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits as runs of strings: which hit, and the first and last position at which a string of its starts (``last``: the
+    greatest at which one can). Bit ``i`` of a mask stands for the string that starts ``i`` bytes before the anchor."""
+    low = mask & -mask
+    run = ((mask + low) & mask) == 0  # bits in one piece
+    i = np.flatnonzero(run & (mask > 0))
+    most, least = np.log2(mask[i] + low[i]).astype(np.int64) - 1, np.log2(low[i]).astype(np.int64)
+    found = [(i, pos[i] - most, pos[i] - least)]
+    several = np.flatnonzero(~run)
+    for shift in range(REACH + 1):
+        i = several[(mask[several] >> shift & 1) > 0]
+        found.append((i, pos[i] - shift, pos[i] - shift))
+    i, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = np.maximum(a, 0), np.minimum(b, last[i])
+    return i[a <= b], a[a <= b], b[a <= b]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, 200):
         rows, members = _flat(batch, "hits")
-        hit_pos, hit_mask = members.field("pos").to_numpy().astype(np.int64), members.field("mask").to_numpy()
-        bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        removed, spans, kept = [], [], []
-        for r, text in enumerate(_bytes(batch)):
-            a, b = bounds[r], bounds[r + 1]
-            if a == b:
-                removed.append(0)
-                spans.append(0)
-                kept.append(text)
-                continue
-            change = np.zeros(len(text) + 1, np.int32)
-            for shift in range(REACH + 1):
-                start = hit_pos[a:b][(hit_mask[a:b] >> shift & 1) > 0] - shift
-                start = start[(start >= 0) & (start + THRESHOLD <= len(text))]
-                np.add.at(change, start, 1)
-                np.add.at(change, start + THRESHOLD, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            removed.append(int(gone.sum()))
-            spans.append(int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) > 0)))
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-        size = [len(x) + y for x, y in zip(kept, removed, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+        texts = _bytes(batch)
+        size = np.array([len(x) for x in texts], np.int64)
+        ends = np.cumsum(size)
+        base, data = ends - size, np.frombuffer(b"".join(texts), np.uint8)
+        i, a, b = _starts(members.field("pos").to_numpy().astype(np.int64), members.field("mask").to_numpy(), size[rows] - THRESHOLD)
+        first = base[rows[i]]
+        n = len(data) + 1
+        gone = np.cumsum(np.bincount(first + a, minlength=n) - np.bincount(first + b + THRESHOLD, minlength=n))[:-1] > 0
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        begins[base[size > 0]] = gone[base[size > 0]]  # a run ends with its text
+        so_far, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begins))
+        removed, spans = so_far[ends] - so_far[base], spans[ends] - spans[base]
+        kept = _binaries(data[~gone], np.concatenate([[0], np.cumsum(size - removed)]))
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), kept],
                                          names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -265,11 +454,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialize(own.select("k", "x", F.hash("text").alias("y"), F.octet_length("text").cast("long").alias("size")), "rows")
     classes = rows.filter(F.col("size") >= THRESHOLD).groupBy("x", "y", "size").agg(F.min("k").alias("first"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
-    placed = materialize(join_hot(rows, classes, ["x", "y", "size"], "n", rows.count()).select("k", "x", "size", "first"), "placed")
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    placed = materialize(join_hot(rows, classes, ["x", "y", "size"], "n", count).select("k", "x", "size", "first"), "placed")
     discard(rows, classes)
     copies = placed.filter("k > first").select(F.col("k").alias("key"), F.col("size").alias("n_bytes"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
     firsts = placed.filter("k = first").select("k", "x").distinct()
-    texts = bucketed(own.join(firsts, ["k", "x"]).select("k", "text").repartition(n, "k"), n, ["k"], "texts")
+    part = F.expr(f"pmod(hash(k), {n})")
+    texts = bucketed(own.join(firsts, ["k", "x"]).select("k", "text", part.alias("part")).repartition(n, "k"), n, ["k"], "texts")
     short = own.filter(F.octet_length("text") < THRESHOLD)
     short = short.select(F.col("k").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
 
@@ -278,17 +469,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return texts.join(listed, "k").select("k", "text", "at")
 
     # 20 bytes
-    anchors = texts.mapInArrow(_find_anchors, "h long, k long, pos int")
-    shared = _shared(anchors, ["h"])
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    found = materialize(join_hot(anchors, shared, ["h"], "n", total).select("h", "k", "pos"), "anchors")
-    discard(shared)
+    buckets = 1 << max(n - 1, size // (REACH // 2 + 1) // PER_BUCKET).bit_length()
+    packed = texts.select("k", "part", "text").mapInArrow(_gather_names(buckets), "bucket int, part int, names binary, several binary")
+    shared = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_names_in_several, "part int, names binary")
+    folder = write_by_part(shared.select(F.array("part").alias("parts"), "names"), ["names"], n)
 
     # 80 bytes around
-    members = found.select("k", F.struct("pos", "h").alias("at"))
-    around = with_texts(members).mapInArrow(_name_surroundings, "h long, k long, pos int, cx long, before long, behind long, all_before long, all_behind long")
-    around = materialize(around, "around")
-    discard(found)
+    columns = "h long, k long, pos int, cx long, before long, behind long, all_before long, all_behind long"
+    around = materialize(texts.select("k", "part", "text").mapInArrow(_name_surroundings(folder), columns), "around")
+    delete_dir(spark, folder)
+    total = around.count()
     seen = materialize(around.groupBy("h", "cx").agg(F.min("k").alias("f"), F.count("*").alias("n")), "seen")
     names_left = [F.when(F.col("k") == F.col("f"), F.col(c)).alias(c) for c in ("h", "before", "behind", "all_before", "all_behind")]  # a settled anchor needs none
     split = join_hot(around, seen, ["h", "cx"], "n", total).select("k", "pos", (F.col("k") > F.col("f")).alias("settled"), *names_left)
@@ -316,9 +506,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 50 bytes
     members = materialize(both.select("k", F.struct("pos", "h", "halves").alias("at")), "halves")
     discard(*halves)
-    strings = with_texts(members).mapInArrow(_name_strings, "name long, k long, at long")
-    again = strings.withColumn("f", F.min("k").over(Window.partitionBy("name"))).filter("k > f")
-    again = again.groupBy("k", F.floor(F.col("at") / (REACH + 1)).cast("int").alias("pos")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(at % {REACH + 1} AS int))")).alias("mask"))
+    buckets = 1 << max(n - 1, members.count() * (REACH + 1) // PER_BUCKET).bit_length()
+    strings = with_texts(members).mapInArrow(_name_strings(buckets), "bucket int, names binary, keys binary, pos binary, shifts binary")
+    again = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "k long, pos int, mask long")
+    again = again.groupBy("k", "pos").agg(F.bit_or("mask").alias("mask"))
     again = materialize(again, "again")
     discard(members)
     of_text = materialize(reduce(DataFrame.unionByName, hits, again).groupBy("k").agg(F.collect_list(F.struct("pos", "mask")).alias("hits")), "hits")

@@ -210,6 +210,44 @@ def test_substring_dedup_deletes_what_it_has_read(docs, monkeypatch):
     assert sorted(alive.values()) == ["hits", "placed"] and out.count() == docs.count()  # what the result itself reads
 
 
+def test_substring_names_go_in_packs(docs, monkeypatch):
+    """Names are told apart in packs, not as a row each, with the same result however small the packs are."""
+    rows = lambda df: Counter(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in df.collect())
+    want = rows(substring_dedup.remove_repeats(docs))
+    monkeypatch.setattr(substring_dedup, "GATHER", 100)
+    monkeypatch.setattr(substring_dedup, "PER_BUCKET", 50)
+    assert rows(substring_dedup.remove_repeats(docs)) == want
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"abc ") for _ in range(400)) for _ in range(30)]
+    texts += [x[100:300] + y[50:250] for x, y in zip(texts[:10], texts[10:20])]
+    parts = [i % 3 for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(parts, pa.int32()), pa.array(texts, pa.binary())], names=["k", "part", "text"])
+    packs = list(substring_dedup._gather_names(8)(iter([batch])))
+    assert sum(b.num_rows for b in packs) == 3 * 8
+    by_bucket = pa.Table.from_batches(packs).sort_by("bucket").to_batches()
+    got = defaultdict(set)
+    for b in substring_dedup._names_in_several(iter(by_bucket)):
+        for part, x in zip(b.column("part").to_pylist(), b.column("names").to_pylist()):
+            got[part].update(np.frombuffer(x, np.uint64).tolist())
+    having = defaultdict(set)
+    for k, text in enumerate(texts):
+        for b in substring_dedup.Buffer.of([text]):
+            for name in b.anchors()[2].tolist():
+                having[name].add(k)
+    for part in range(3):  # texts in one run of bytes may have more anchors than by themselves
+        assert {n for n, ks in having.items() if len(ks) > 1 and part in {parts[k] for k in ks}} <= got[part]
+
+
+def test_substring_names_differ_by_the_last_byte_of_eight():
+    base = bytearray(b"the same sixteen")
+    seen = set()
+    for a in range(256):
+        for b in range(256):
+            base[7], base[15] = a, b
+            seen.add(int(substring_dedup.names(np.frombuffer(bytes(base), np.uint8), 16)[16][0]))
+    assert len(seen) == 1 << 16
+
+
 def test_long_texts_are_cut_into_segments(monkeypatch):
     r = random.Random(2)
     text = bytes(r.choice(b"abc ") for _ in range(5000))
