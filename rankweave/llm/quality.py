@@ -38,7 +38,7 @@ def repeated_words(words: Column, window: int = REPEAT_WORDS) -> Column:
     """How many words lie in a run of ``window`` (a power of two) words that occurs at least twice in ``words``.
 
     The runs are hashed by doubling, and only as far as runs of half a window repeat. Only where two hashes are equal are
-    they sorted with their positions.
+    they sorted with their positions (by sort_array: array_sort calls a lambda for every two values it compares).
     """
     def doubled(hashes: Column, size: int) -> Column:
         return _let(hashes, lambda h: F.zip_with(h, F.slice(h, size + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
@@ -47,10 +47,10 @@ def repeated_words(words: Column, window: int = REPEAT_WORDS) -> Column:
         return F.size(F.array_distinct(h)) == F.size(h)
 
     def covered(h: Column) -> Column:
-        in_order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        in_order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         found = _let(in_order, lambda s: F.filter(F.transform(s, lambda x, i: F.when(
             (x["h"] == F.get(s, i + 1)["h"]) | (x["h"] == F.get(s, i - 1)["h"]), x["i"])), lambda x: x.isNotNull()))
-        return _let(F.array_sort(found), lambda p: F.aggregate(
+        return _let(F.sort_array(found), lambda p: F.aggregate(
             F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window)))), F.lit(0), lambda a, b: a + b))
 
     def runs(h: Column, size: int) -> Column:
@@ -82,7 +82,10 @@ def base_rules(text: Column) -> dict[str, Column]:
 def word_list(text: Column) -> Column:
     """The words of a text, in order."""
     trimmed = F.trim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    any_space = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    # splitting at one character needs no matching: most texts hold no space but blanks and line breaks
+    blanks = F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), any_space).otherwise(blanks)
 
 
 def _word_buckets(word: Column) -> list[Column]:
@@ -97,28 +100,39 @@ def _pair_bucket(a: Column, b: Column) -> Column:
     return F.when(b.isNotNull(), HALF + F.xxhash64(a, b).bitwiseAND(HALF - 1).cast("int"))
 
 
-def _neighbours(words: DataFrame) -> DataFrame:
-    """A row (``a``, ``b``) for each word in the lists ``w`` and the one behind it."""
-    others = [c for c in words.columns if c != "w"]
-    return words.select(*others, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("f")).select(*others, "f.a", "f.b")
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """A row for each feature of ``rows`` (``__text`` and others), with its ``bucket``."""
-    others = [c for c in rows.columns if c != "__text"]
-    both = _neighbours(rows.select(*others, word_list(F.lower("__text")).alias("w")))
-    both = both.select(*others, F.explode(F.array(*_word_buckets(F.col("a")), _pair_bucket(F.col("a"), F.col("b")))).alias("bucket"))
-    return both.filter("bucket IS NOT NULL")
+def _pairs(words: str) -> Column:
+    """The words of a list as structs with the word behind each; ``b`` of the last is null."""
+    return F.arrays_zip(F.col(words).alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
     """``bucket``, ``raw``, ``good``: how many distinct words of documents have a feature, and how often a pair occurs; in all and in
     trusted documents."""
     words = rows.select("__good", word_list(F.lower("__text")).alias("w"))
-    single = words.select("__good", F.explode(F.array_distinct("w")).alias("a")).select("__good", F.explode(F.array(*_word_buckets(F.col("a")))).alias("bucket"))
-    pairs = _neighbours(words).select("__good", _pair_bucket(F.col("a"), F.col("b")).alias("bucket"))
-    count = [F.count("*").alias("raw"), F.count("__good").alias("good")]
-    return single.filter("bucket IS NOT NULL").groupBy("bucket").agg(*count).unionByName(pairs.filter("bucket IS NOT NULL").groupBy("bucket").agg(*count))
+    # distinct words come without a second one, pairs without the last word
+    single = F.arrays_zip(F.array_distinct("w").alias("a"), F.slice("w", F.lit(1), F.lit(0)).alias("b"))
+    pairs = F.slice(_pairs("w"), F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
+    both = words.select("__good", F.explode(F.concat(single, pairs)).alias("f")).select("__good", "f.a", "f.b")
+    stem, end = _word_buckets(F.col("a"))
+    one = F.when(F.col("b").isNotNull(), _pair_bucket(F.col("a"), F.col("b"))).otherwise(stem)
+    hits = both.select("__good", F.explode(F.array(one, F.when(F.col("b").isNull(), end))).alias("bucket")).filter("bucket IS NOT NULL")
+    return hits.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good"))
+
+
+def _sums(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rows`` (``__text`` and keys) as the sum of the weights of all features of the texts, ``__sum``, by the keys.
+
+    The weights stand in one array, by bucket, that every task has: at most BUCKETS numbers, so that a feature is looked up in
+    place and makes no row of its own.
+    """
+    keys = [c for c in rows.columns if c != "__text"]
+    every = rows.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(weights, "bucket", "left")
+    in_order = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0)).alias("weight"))))
+    listed = materialize(every.agg(in_order.alias("x")).select(F.col("x.weight").alias("__weights")), "listed")
+    both = rows.select(*keys, word_list(F.lower("__text")).alias("w")).select(*keys, F.explode(_pairs("w")).alias("f"))
+    both = both.select(*keys, "f.a", "f.b").crossJoin(F.broadcast(listed))
+    found = [F.coalesce(F.get("__weights", bucket), F.lit(0)) for bucket in (*_word_buckets(F.col("a")), _pair_bucket(F.col("a"), F.col("b")))]
+    return both.select(*keys, (found[0] + found[1] + found[2]).alias("weight")).groupBy(*keys).agg(F.sum("weight").alias("__sum"))
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED_DOCS) -> DataFrame:
@@ -154,8 +168,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     kept = [c for c in docs.columns if c not in made]
     weights = materialize(bucket_weights(docs, labels, id_col, text_col), "weights")
     own = docs.select(id_key(id_col).alias("__k"), body(text_col).alias("__text")).withColumn("__x", F.xxhash64("__text"))
-    hits = _buckets(own.dropDuplicates(["__k", "__x"]) if _repeats(docs, id_col) else own).join(F.broadcast(weights), "bucket")
-    sums = hits.groupBy("__k", "__x").agg(F.sum("weight").alias("__sum"))
+    sums = _sums(own.dropDuplicates(["__k", "__x"]) if _repeats(docs, id_col) else own, weights)
 
     rows = docs.select(*kept, id_key(id_col).alias("__k"), body(text_col).alias("__text"))
     rows = rows.withColumn("__x", F.xxhash64("__text")).withColumn("__words", word_list(F.col("__text")))

@@ -168,6 +168,14 @@ def test_quality_against_brute_force(spark, docs):
     assert out == want
 
 
+def test_quality_counts_all_features_in_one_reading(spark, files):
+    rows = files.select(F.lit(1).alias("__good"), F.coalesce("text", F.lit("")).alias("__text"))
+    assert quality._counts(rows)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    odd = [" a\tb \n c", "a\n\nb  c ", "\x0b\x0c\r", "", " ", "a\u00a0b\x85c d\x1ce"]
+    words = spark.createDataFrame([(x,) for x in odd], "t string").select(quality.word_list(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in words] == [["a", "b", "c"], ["a", "b", "c"], [], [], [], ["a\u00a0b\x85c", "d\x1ce"]]
+
+
 # 2
 
 def test_substring_dedup(docs):
