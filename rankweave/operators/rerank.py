@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from rankweave.config import RetrievalConfig
 from rankweave.functions import text as X
 from rankweave.functions.text import strings
 from rankweave.operators.filters import group_key
+from rankweave.operators.lexical import Tokens
 
 MOST = 0.01
 #: Shares of the features in the adjustment.
@@ -25,7 +30,7 @@ def candidate_text() -> Column:
 
 def _bounded(text: Column, words: Column) -> Column:
     """Whether ``words`` stand in ``text`` between what is neither letter nor digit; both are phrase texts."""
-    return F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), words, F.lit(r"\E(?![a-z0-9])")))
+    return F.contains(text, words) & F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), words, F.lit(r"\E(?![a-z0-9])")))
 
 
 def phrase_feature() -> Column:
@@ -63,6 +68,18 @@ def version_feature() -> Column:
     return F.when(F.col("version_intent") == "specific", specific).when(F.col("version_intent") == "latest", latest).otherwise(0.0)
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, phrase text) to (id, __phrases, __tokens, __words): the distinct tokens of both."""
+    tokens = Tokens()
+
+    def lists(texts: pa.Array) -> pa.Array:
+        found = [pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(lengths) + 1)), pa.int32()), words) for _, lengths, words, rows, _ in tokens.count(texts)]
+        return pa.concat_arrays(found)
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists(batch.column(1)), lists(batch.column(2))], names=["id", "__phrases", "__tokens", "__words"])
+
+
 def rerank(candidates: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """``candidates`` (with snippet columns, fusion_score, and their query's identifiers, technical_phrases, primary_intent,
     confidence, version_intent, requested_version) with the features, rerank_adjustment, final_score and final_rank."""
@@ -70,8 +87,8 @@ def rerank(candidates: DataFrame, config: RetrievalConfig = RetrievalConfig()) -
             "intent": ("intent_compatibility", intent_feature()), "version": ("version_compatibility", version_feature())}
     # texts and tokens once for each snippet, however many queries found it
     texts = candidates.select("id", candidate_text().alias("__text")).dropDuplicates(["id"])
-    texts = texts.select("id", X.phrase_text(F.col("__text")).alias("__phrases"), F.array_distinct(X.tokenize(F.col("__text"))).alias("__tokens"))
-    texts = texts.withColumn("__words", F.array_distinct(X.tokenize(F.col("__phrases"))))
+    texts = texts.select("id", "__text", X.phrase_text(F.col("__text")).alias("__phrases"))
+    texts = texts.mapInArrow(_words, f"id {texts.schema['id'].dataType.simpleString()}, __phrases string, __tokens array<string>, __words array<string>")
     out = candidates.join(texts, "id").withColumn("__version", X.version_key(F.col("version")))
     out = out.withColumns({column: value if name in config.rerank_features else F.lit(0.0) for name, (column, value) in made.items()})
     sum_ = sum((SHARES[name] * F.col(column) for name, (column, _) in made.items()), F.lit(0.0))
